@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import components, exact_copies
+from paperloom.llm import components, exact_copies, mixing, packing, reading, survivors
+from paperloom.llm.tokens import token_count
+from paperloom.storage import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +30,67 @@ def p6_copy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies.representatives(exact_copies.followup_keys(table(spark, sf_dir, "followups")))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = survivors.best_values(table(spark, sf_dir, "s2_papers"))
+    return best.where("n_rows >= 2").select("paperid", "field_name", "hit_id")
+
+
+def p5_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = survivors.survivors(table(spark, sf_dir, "s2_papers"))
+    pdf = F.col("openaccesspdf")
+    return built.select("paperid", "n_rows", "abstract", pdf["url"].alias("pdf_url"), pdf["status"].alias("pdf_status"), "citationcount", "venue")
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens) of every text, counted once."""
+    sized = table(spark, sf_dir, "documents").select("doc_id", token_count(F.col("text")).alias("n_tokens"))
+    return Scratch(spark, "sizes").save(sized)
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.containers(_sized(spark, sf_dir), table(spark, sf_dir, "bin_sizes"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bins = table(spark, sf_dir, "bin_sizes")
+    return packing.fill_report(packing.containers(_sized(spark, sf_dir), bins), bins)
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    text = F.col("text")
+    documents = table(spark, sf_dir, "documents").where("source IS NOT NULL").select("doc_id", "source", token_count(text).alias("n_tokens"), F.sha2(text, 256).alias("text_hash"))
+    return mixing.mix(documents, table(spark, sf_dir, "mix_targets"))
+
+
+def p8_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[1]
+
+
+def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.levels(table(spark, sf_dir, "documents"), reading.fit(table(spark, sf_dir, "reading_anchors")))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = p9_levels(spark, sf_dir)
+    return judged.where("language = 'en' AND n_chars >= 200 AND level IS NOT NULL").select("doc_id", "level")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
+    "p5_found": p5_found,
+    "p5_survivors": p5_survivors,
     "p6_found": p6_found,
     "p6_copy_counts": p6_copy_counts,
+    "p7_containers": p7_containers,
+    "p7_fill": p7_fill,
+    "p8_draws": p8_draws,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_levels": p9_levels,
 }
 
 #: DOI and arXiv id of each followup, for the checks of problems 3 and 6.
