@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import components, exact_copies, mixing, packing, reading, survivors
+from paperloom.llm import components, exact_copies, matching, mixing, names, packing, reading, survivors
 from paperloom.llm.tokens import token_count
 from paperloom.storage import Scratch
 
@@ -16,6 +16,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.all_names(*[table(spark, sf_dir, t) for t in ("s2_papers", "openalex_works", "followups")])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.spelling_pairs(_names(spark, sf_dir))
+
+
+def p1_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.attributed(_names(spark, sf_dir))
+
+
+def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers, works = table(spark, sf_dir, "s2_papers"), table(spark, sf_dir, "openalex_works")
+    pairs = matching.matches(matching.s2_records(papers), matching.openalex_records(works))
+    return pairs.select(F.col("left_id").alias("paperid"), F.col("right_id").alias("openalexid"), "score", "confidence")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_matches(spark, sf_dir).select("paperid", "openalexid")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = components.followup_links(table(spark, sf_dir, "followups"))
     return components.groups(links).select("group_id", F.col("id").alias("followup_id"))
@@ -80,6 +102,10 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_canonical": p1_canonical,
+    "p2_found": p2_found,
+    "p2_matches": p2_matches,
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p5_survivors": p5_survivors,
