@@ -32,21 +32,23 @@ from paperloom.storage import Scratch
 
 #: Short forms of given names and what they stand for.
 NICKNAMES = {
-    "Abigail": "abby abbie gail", "Alexandra": "sasha alex lexi sandra", "Amara": "mara", "Benjamin": "ben benny", "Christopher": "chris kit topher", "Dmitri": "dima mitya", "Dorothea": "dora dot thea dorrie",
-    "Eilidh": "ailie eily", "Elizabeth": "liz beth betty lisa eliza bess libby", "Fatima": "fati tima", "Francisco": "paco pancho cisco fran", "Frederick": "fred freddie fritz rick", "Giovanni": "gianni gio nino vanni", "Goran": "gogo goca",
-    "Guadalupe": "lupe lupita", "Haruto": "haru", "Helene": "lena leni nell ellie", "Hendrik": "henk rik hank", "Ibrahim": "ibo ibra", "Ingrid": "inga inge", "Javier": "javi xavi", "Jonathan": "jon nathan johnny nat", "Josephine": "josie fina jo",
-    "Katherine": "kate katie kathy kit kat", "Leonard": "leo len lenny", "Lucia": "lucy luz luci", "Margaret": "maggie peggy greta meg marge", "Mehmet": "memo memet", "Michael": "mike mick mickey", "Nathaniel": "nat nate", "Nikolai": "kolya niko nick nik",
-    "Oluwaseun": "seun olu", "Oskar": "ossi ozzie", "Paulo": "paulinho", "Priyanka": "priya", "Quentin": "quin quent", "Rajendra": "raj raju", "Rebecca": "becca becky", "Robert": "rob bob bert robbie", "Rosalind": "roz rosie lindy ros", "Stefan": "stef steve",
-    "Susannah": "sue susie sanna", "Theodore": "ted theo teddy", "Tomasz": "tomek tom", "Umberto": "berto", "Ursula": "ulla uschi", "Valerie": "val", "Victoria": "vicky tori vic", "Wilhelmina": "mina willa minna helma", "William": "will bill billy liam",
-    "Wojciech": "wojtek", "Yekaterina": "katya kati", "Yusuf": "yusi", "Zachary": "zach zack", "Zeynep": "zey zeyno",
+    "Abigail": "abby abbie abi gail", "Alexandra": "sasha alex alexa lexi sandra", "Amara": "mara", "Benjamin": "ben benny benji benno", "Christopher": "chris kit topher", "Dmitri": "dima mitya",
+    "Dorothea": "dora dot thea dorrie dolly", "Eilidh": "ailie eily", "Elizabeth": "liz lizzie beth betty betsy lisa eliza bess libby elsie", "Fatima": "fati tima", "Francisco": "paco pancho cisco fran frank",
+    "Frederick": "fred freddie freddy fritz rick", "Giovanni": "gianni gio nino vanni", "Goran": "gogo goca", "Guadalupe": "lupe lupita", "Haruto": "haru", "Helene": "lena leni nell ellie", "Hendrik": "henk rik rick hank",
+    "Ibrahim": "ibo ibra", "Ingrid": "inga inge", "Javier": "javi xavi", "Jonathan": "jon jonny johnny nathan nat", "Josephine": "josie fina jo jojo", "Katherine": "kate katie kathy kit kat kitty", "Leonard": "leo len lenny",
+    "Lucia": "lucy luz luci", "Margaret": "maggie peggy greta meg marge madge rita", "Mehmet": "memo memet", "Michael": "mike mick mickey misha", "Nathaniel": "nat nate", "Nikolai": "kolya niko nick nik",
+    "Oluwaseun": "seun olu", "Oskar": "ossi ozzie", "Paulo": "paulinho", "Priyanka": "priya", "Quentin": "quin quent", "Rajendra": "raj raju", "Rebecca": "becca becky reba", "Robert": "rob bob bert robbie robin bobby",
+    "Rosalind": "roz rosie lindy ros", "Stefan": "stef steve stevo", "Susannah": "sue susie suzy sanna zanna", "Theodore": "ted theo teddy teo", "Tomasz": "tomek tom", "Umberto": "berto", "Ursula": "ulla uschi",
+    "Valerie": "val", "Victoria": "vicky vicki tori tory vic", "Wilhelmina": "mina willa minna helma wilma billie", "William": "will bill billy liam willy wim", "Wojciech": "wojtek", "Yekaterina": "katya kati katja rina",
+    "Yusuf": "yusi", "Zachary": "zach zack zac zak", "Zeynep": "zey zeyno",
 }
 _NICKNAMES: dict[str, list[str]] = {}
 for _full, _shorts in NICKNAMES.items():
     for _short in _shorts.split():
-        _NICKNAMES.setdefault(_short, []).append(_full.lower())
+        _NICKNAMES.setdefault(_short, []).append(_full.lower().replace("ph", "f"))
 #: Words that stand between given name and surname, and titles.
 _PARTICLES = frozenset("von van der den de la del di da dos bin ibn al el le ter ten zu".split())
-_TITLES = re.compile(r"^(?:(?:dr|prof|professor|mr|mrs|ms|sir)\b\.?\s+)+", re.I)
+_TITLES = re.compile(r"^(?:(?:Dr|DR|dr|Prof|prof|Professor|Mr|Mrs|Ms|Sir)\b\.?\s+)+")
 #: Words only organisations carry, with what they are shortened to.
 _ORG = re.compile(r"\b(?:institute?|inst\.|network|netw\.|working group|group|wg|collaboration|collab\.|consortium|consort\.|observatory|obs\.|centre|center|survey|university|univ\.|agency|council|laboratory|lab\.|society|association|team|project)(?:\W|$)", re.I)
 _ORG_WORDS = frozenset("institute network working group wg collaboration consortium observatory centre center survey university agency council laboratory society association team project inst netw collab consort obs univ lab".split())
@@ -54,8 +56,6 @@ _GLUE = frozenset("the of for and on in".split())
 
 #: Log-likelihoods of what a typist does to a canonical form.
 COSTS = {"nickname": 2.0, "initial": 1.0, "typo": 3.5, "middle_agrees": -2.0, "middle_differs": 6.0}
-#: A typo must be at least this much rarer than its origin, unless nobody else bears the name.
-RATIO = 0.6
 #: A given name borne with so many times fewer surnames may be a typo of the other.
 GIVEN_RATIO = 5
 
@@ -65,7 +65,7 @@ def plain(text: str) -> str:
 
 
 def _letters(text: str) -> str:
-    return re.sub(r"[\W\d_]+", "", plain(text))
+    return re.sub(r"[\W\d_]+", "", plain(text)).replace("ph", "f")
 
 
 def _is_initials(token: str) -> bool:
@@ -73,6 +73,11 @@ def _is_initials(token: str) -> bool:
     return 0 < len(bare) <= 3 and bare.isalpha() and bare.isupper() and ("." in token or len(bare) <= 2)
 
 
+def _in_front(token: str) -> bool:
+    """Initials, but not a particle in capitals."""
+    return _is_initials(token) and token.lower() not in _PARTICLES
+
+
 def _person(given: list[str], family: list[str], turned: bool) -> dict | None:
     surname = _letters("".join(family))
     if not surname or not given:
@@ -96,7 +101,7 @@ def readings(name: str) -> list[dict]:
         if place:
             kinds = [w for w in words if w in _ORG_WORDS]
             words = place + [w for w in words if w not in _ORG_WORDS] + kinds
-        return [{"kind": "org", "given": " ".join(words[1:]), "initial": "", "middle": "", "surname": words[0], "turned": False}] if words else []
+        return [{"kind": "org", "given": " ".join(words[1:]), "initial": "", "middle": "", "surname": words[0].replace("ph", "f"), "turned": False}] if words else []
     text = _TITLES.sub("", text)
     if "," in text:
         family, _, given = text.partition(",")
@@ -115,7 +120,7 @@ def readings(name: str) -> list[dict]:
         found.append(_person(tokens[k:], tokens[:k], False))
     else:
         cut = 1  # "J. R. van der Smith": the surname begins after given names and initials
-        while cut < len(tokens) - 1 and _is_initials(tokens[cut]):
+        while cut < len(tokens) - 1 and _in_front(tokens[cut]):
             cut += 1
         particle = next((i for i in range(1, len(tokens) - 1) if tokens[i].lower() in _PARTICLES), None)
         if particle is not None and particle >= cut:
@@ -123,10 +128,13 @@ def readings(name: str) -> list[dict]:
         elif len(tokens) - cut > 1 and not (tokens[cut].lower() in _PARTICLES):
             cut = len(tokens) - 1
         found.append(_person(tokens[:cut], tokens[cut:], False))
+        if particle is None and cut == len(tokens) - 1 and cut > 1 and not _is_initials(tokens[cut - 1]):  # "Jane Double Name"
+            found.append(_person(tokens[: cut - 1], tokens[cut - 1 :], False))
         if not _is_initials(tokens[0]) and not _is_initials(tokens[-1]):  # "Smith Jane"
             found.append(_person(tokens[-1:], tokens[:-1], True))
-    if len(tokens) == 2 and tokens[1].isupper() and 3 <= len(tokens[1]) <= 6:  # "Place ABC"
-        found.append({"kind": "org", "given": "*" + tokens[1].lower(), "initial": "", "middle": "", "surname": _letters(tokens[0]), "turned": True})
+    for short, place in (tokens[::-1], tokens) if len(tokens) == 2 else ():  # "Place ABC", "ABC Place"
+        if short.isupper() and short.isalpha() and 3 <= len(short) <= 6 and _letters(place):
+            found.append({"kind": "org", "given": "*" + short.lower(), "initial": "", "middle": "", "surname": _letters(place), "turned": True})
     return [r for r in found if r]
 
 
@@ -180,7 +188,7 @@ def _org_cost(words: str, other: str) -> float:
     """Cost of writing the organisation ``other`` as ``words``; both without the place."""
     if words == other:
         return 0.0
-    long = ["working group"] * 0 + other.replace("wg", "working group").split()
+    long = other.replace("wg", "working group").split()
     if words[:1] == "*" or other[:1] == "*":
         short, full = (words[1:], long) if words[:1] == "*" else (other[1:], words.replace("wg", "working group").split())
         return COSTS["initial"] + 1 if short == "".join(w[0] for w in full) else math.inf
@@ -191,7 +199,7 @@ def _org_cost(words: str, other: str) -> float:
             if long[step].startswith(word) and len(word) > 1:
                 cost += 0.0 if word == long[step] else 0.5
                 break
-            if distance(word, long[step]) == 1 and len(word) > 2:
+            if distance(word, long[step]) == 1 and len(word) > 1:
                 cost += COSTS["typo"]
                 break
         else:
@@ -262,9 +270,11 @@ def _chosen_readings(names: DataFrame) -> DataFrame:
     straight = read.where("kind = 'person' AND NOT turned AND given <> ''")
     usual = straight.groupBy("given").agg(F.count_distinct("surname").alias("df"))
     places = read.where("kind = 'org' AND NOT turned").groupBy("surname").agg(F.lit(True).alias("is_place")).withColumnRenamed("surname", "place")
-    scored = read.join(usual, "given", "left").join(places, (F.col("kind") == "org") & F.col("turned") & (F.col("surname") == F.col("place")), "left")
+    known = read.where("no = 0").groupBy("surname").agg(F.count("*").alias("known"))
+    scored = read.join(known, "surname", "left").join(usual, "given", "left").join(places, (F.col("kind") == "org") & F.col("turned") & (F.col("surname") == F.col("place")), "left")
     df = F.coalesce("df", F.lit(0))
-    merit = F.when(F.col("kind") == "org", F.when(F.col("turned"), F.when(F.col("is_place"), 1e9).otherwise(-1.0)).otherwise(1e9)).when(F.col("turned"), df / 3.0 - 0.5).otherwise(df.cast("double"))
+    others = 3 * F.log1p(F.coalesce("known", F.lit(0)) - F.when(F.col("no") == 0, 1).otherwise(0))
+    merit = F.when(F.col("kind") == "org", F.when(F.col("turned"), F.when(F.col("is_place"), 1e9).otherwise(-1.0)).otherwise(1e9)).when(F.col("turned"), df / 3.0 - 0.5 + others).otherwise(df + others)
     return scored.groupBy("name").agg(F.max_by(F.struct("n", *_FORM), F.struct(merit, -F.col("no"))).alias("best")).select("name", "best.*")
 
 
@@ -286,7 +296,9 @@ def attributed(names: DataFrame) -> DataFrame:
     met = met.join(forms, "form")
     met = met.withColumn("cost", _channel_udf("kind", "given", "initial", "middle", "surname", "given2", "middle2", "surname2", "kind2")).where(F.col("cost") < 50)
     same_given, same_surname = F.col("given") == F.col("given2"), F.col("surname") == F.col("surname2")
-    rarer = (F.col("freq") < RATIO * F.col("freq2")) | ((F.col("surname_df") <= 1) & ((F.col("freq") < F.col("freq2")) | ((F.col("freq") == F.col("freq2")) & (F.col("form") > F.col("form2")))))
+    # of two spellings of a surname the one with more bearers, then more rows, is the canonical one
+    standing = [F.struct(F.col(f"surname_df{x}").alias("bearers"), F.col(f"freq{x}").alias("rows"), F.col(f"form{x}").alias("form")) for x in ("", "2")]
+    rarer = standing[0] < standing[1]
     short = (F.col("given") == "") | (F.substring("given", 1, 1) == "*")
     nick = ~same_given & same_surname & (F.col("cost") < COSTS["typo"]) & (F.col("given_df") * 2 < F.col("given_df2"))
     wrong_given = ~same_given & same_surname & (F.col("given_df") * GIVEN_RATIO <= F.col("given_df2"))
