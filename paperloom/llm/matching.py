@@ -132,7 +132,11 @@ def encode(records: DataFrame) -> DataFrame:
 
 
 def _blocks(encoded: DataFrame, rid: str) -> DataFrame:
-    """(key, rid): one row per block of each vector."""
+    """(key, rid, fold): one row per block of each vector.
+
+    fold is the vector's four quarters xored: two vectors differ in at least as many
+    bits as their folds, which drops most pairs the moment they meet.
+    """
     vector = encoded.select(F.col("rid").alias(rid), F.explode("vectors").alias("v")).select(rid, "v.*")
     parts = {}
     for kind, n in BLOCKS.items():
@@ -141,7 +145,10 @@ def _blocks(encoded: DataFrame, rid: str) -> DataFrame:
         cuts = longs if width == 64 else [F.shiftrightunsigned(x, s).bitwiseAND(F.lit((1 << width) - 1)) for x in longs for s in range(0, 64, width)]
         parts[kind] = F.transform(F.array(*[F.struct(F.lit(i).alias("no"), c.alias("cut")) for i, c in enumerate(cuts)]), lambda b: F.xxhash64("kind", "initial", b["no"], b["cut"]))
     keys = F.when(F.col("kind") == "author", parts["author"]).otherwise(parts["title"])
-    return vector.select(rid, F.explode(keys).alias("key"))
+    fold = longs[0]
+    for part in longs[1:]:
+        fold = fold.bitwiseXOR(part)
+    return vector.select(rid, fold.alias(f"{rid}_fold"), F.explode(keys).alias("key"))
 
 
 def _ones(bits: list[Column]) -> Column:
@@ -161,7 +168,8 @@ def dice(a: Column, b: Column) -> Column:
 
 def close_pairs(left: DataFrame, right: DataFrame, scratch: Scratch) -> DataFrame:
     """(l, r): rids of all records with vectors of one kind closer than its number of blocks."""
-    met = _blocks(left, "l").join(_blocks(right, "r"), "key").select("l", "r").distinct()
+    met = _blocks(left, "l").join(_blocks(right, "r"), "key")
+    met = met.where(F.bit_count(F.col("l_fold").bitwiseXOR(F.col("r_fold"))) < max(BLOCKS.values())).select("l", "r").distinct()
     a = left.select(F.col("rid").alias("l"), F.col("vectors").alias("lv"))
     b = right.select(F.col("rid").alias("r"), F.col("vectors").alias("rv"))
     near = " + ".join(f"bit_count(x.bits[{i}] ^ y.bits[{i}])" for i in range(BITS // 64))
