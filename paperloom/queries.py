@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paperloom import parity
 from paperloom.operators import nested
 
 
@@ -22,7 +23,7 @@ def p4_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.works(table(spark, sf_dir, "openalex_responses"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_works": p4_works}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_works": p4_works} | parity.QUERIES
 
 #: SQL for the works of the readable bodies, shared by the checks of problem 4.
 _WORKS_SQL = """
@@ -59,4 +60,4 @@ SELECT response_id, result_no, json_extract_string(w, '$.id') AS work_id, json_e
   TRY_CAST(json_extract_string(w, '$.cited_by_count') AS BIGINT) AS cited_by_count, json_extract_string(w, '$.best_oa_location.pdf_url') AS pdf_url
 FROM works
 """,
-}
+} | parity.ORACLE
