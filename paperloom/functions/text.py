@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Whitespace including the Unicode spaces that ``trim`` and Java's ``\s`` leave.
 SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
@@ -156,7 +157,7 @@ def _decomposed(text: str) -> str:
     return unicodedata.normalize("NFKD", text).lower()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def title_key(titles: pd.Series) -> pd.Series:
     """ASCII letters and digits of the decomposed title: the key titles are compared by."""
     return titles.map(lambda t: re.sub(r"[^a-z0-9]+", "", _decomposed(t)), na_action="ignore")
@@ -168,7 +169,7 @@ def slug_of(text: str, fallback: str = "item", limit: int = 80) -> str:
     return bare[:limit].rstrip("-") or fallback
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def slug(texts: pd.Series) -> pd.Series:
     return texts.map(slug_of, na_action="ignore")
 
@@ -176,7 +177,7 @@ def slug(texts: pd.Series) -> pd.Series:
 _NUMERIC = re.compile(r"&#(?:x([0-9a-f]+)|(\d+));", re.I)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_entities(texts: pd.Series) -> pd.Series:
     """Named, decimal and hexadecimal entities; the ampersand last, so nothing decodes twice."""
 

@@ -60,7 +60,7 @@ def _term_rows() -> str:
     items = "split(regexp_replace(substring(e.value, 2, length(e.value) - 2), '\"[^\"]*\"', ''), ',')"
     spots = f"array_distinct(filter({items}, p -> p RLIKE '^[0-9]+$'))"
     return (
-        f"flatten(transform(filter({entries}, e -> e.value LIKE '[%' AND e.key RLIKE '[^\\s\\p{{Z}}]'), e -> "
+        f"flatten(transform(filter({entries}, e -> e.value LIKE '[%' AND e.key RLIKE '[^\\\\s\\\\p{{Z}}]'), e -> "
         f"transform({spots}, p -> named_struct("
         "'child', 'term', 'child_no', CAST(p AS BIGINT), 'child_key', e.key, 'child_name', e.key))))"
     )
