@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions.ids import card_name, work_ids
+from paperloom.functions.ids import arxiv_id, card_name, doi
 from paperloom.storage import Scratch
 
 #: A vertex or key with more than one in so many of all rows is hot; there are at
@@ -116,11 +116,11 @@ def _propagate(edges: DataFrame, start: DataFrame, scratch: Scratch, hot: DataFr
 
 
 def followup_links(followups: DataFrame) -> DataFrame:
-    """(id, key): the DOI, arXiv id and citing cards of each row, one row per key."""
-    doi, arxiv = work_ids(F.col("doi"), F.col("arxivid"))
-    both = [F.concat(F.lit(p), c) for p, c in (("d:", doi), ("a:", arxiv))]
+    """(id, key): the DOIs and arXiv ids in either field of each row and its citing cards, one row per key."""
+    fields = [F.col("doi"), F.col("arxivid")]
+    named = [F.concat(F.lit(p), read(f)) for f in fields for p, read in (("d:", doi), ("a:", arxiv_id))]
     cards = F.transform(F.coalesce("citedby", F.array()), lambda c: F.concat(F.lit("c:"), card_name(c)))
-    keys = F.array_compact(F.concat(F.array(*both), cards))
+    keys = F.array_compact(F.concat(F.array(*named), cards))
     return followups.select(F.col("followup_id").alias("id"), F.explode(F.array_distinct(keys)).alias("key"))
 
 

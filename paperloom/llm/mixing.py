@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperloom.storage import Scratch
 
@@ -54,7 +55,7 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return value.astype(np.int64)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def _permuted_udf(index: pd.Series, size: pd.Series, key: pd.Series) -> pd.Series:
     return pd.Series(permuted(index.to_numpy(), size.to_numpy(), key.to_numpy()))
 

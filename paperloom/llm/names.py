@@ -235,7 +235,7 @@ def channel(kind: str, given: str, initial: str, middle: str, surname: str, give
     return cost
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _channel_udf(kind: pd.Series, given: pd.Series, initial: pd.Series, middle: pd.Series, surname: pd.Series, given2: pd.Series, middles2: pd.Series, surname2: pd.Series, kind2: pd.Series) -> pd.Series:
     return pd.Series([channel(*row) for row in zip(kind, given, initial, middle, surname, given2, middles2, surname2, kind2, strict=True)])
 

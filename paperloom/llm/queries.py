@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import components, exact_copies, matching, mixing, names, packing, reading, survivors
 from paperloom.llm.tokens import token_count
+from paperloom.parity import IDS_SQL
 from paperloom.storage import Scratch
 
 
@@ -119,16 +120,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_levels": p9_levels,
 }
 
-#: DOI and arXiv id of each followup, for the checks of problems 3 and 6.
-_IDS_SQL = r"""
-bare AS (SELECT followup_id, title, citedby,
-    [regexp_replace(regexp_replace(lower(x), '[\s\p{Z}\p{Cc}\p{Cf}]+', '', 'g'), '^["''<(\[]+|["''>)\].,;]+$', '', 'g') FOR x IN [doi, arxivid] IF x IS NOT NULL] AS xs FROM followups),
-dois AS (SELECT followup_id, title, citedby, xs, [regexp_replace(regexp_replace(x, '^(?:https?://)?(?:[\w-]+\.)*doi\.[a-z]+/|^doi[:.]*', ''), '^(?:https?://)?(?:[\w-]+\.)*doi\.[a-z]+/|^doi[:.]*', '') FOR x IN xs] AS ds FROM bare),
-axs AS (SELECT *, [regexp_replace(CASE WHEN d LIKE '10.48550/arxiv.%' THEN d[16:] ELSE regexp_replace(x, '^(?:https?://)?(?:[\w-]+\.)*arxiv\.[a-z]+/(?:abs|pdf)/|^arxiv[:.]*', '') END, '(v\d+)?(\.pdf)?$', '') FOR (x, d) IN list_zip(xs, ds)] AS zs FROM
-    (SELECT followup_id, title, citedby, xs, ds FROM dois)),
-ids AS (SELECT followup_id, title, citedby,
-    list_filter(ds, lambda d: regexp_matches(d, '^10\.\d{3,9}(\.\d+)*/.+') AND d NOT LIKE '10.48550/arxiv.%')[1] AS doi,
-    list_filter(zs, lambda z: regexp_full_match(z, '\d{4}\.\d{4,5}') AND NOT regexp_full_match(z, '[0.]+'))[1] AS arxiv FROM axs)
-"""
-
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p3_found": rf"""
+WITH RECURSIVE {IDS_SQL},
+cards AS (SELECT followup_id, regexp_replace(regexp_replace(lower(trim(unnest(citedby))), '^.*[/\\]', ''), '\.(md|markdown|txt|tex|pdf)$', '') AS c FROM followups),
+links AS (SELECT followup_id AS id, 'd:' || doi AS k FROM ids WHERE doi IS NOT NULL UNION SELECT followup_id, 'a:' || arxivid FROM ids WHERE arxivid IS NOT NULL UNION SELECT followup_id, 'c:' || c FROM cards WHERE c <> ''),
+stars AS (SELECT id AS u, min(id) OVER (PARTITION BY k) AS v FROM links), edges AS (SELECT u, v FROM stars WHERE u <> v UNION SELECT v, u FROM stars WHERE u <> v),
+reach(u, v) AS (SELECT u, v FROM edges UNION SELECT r.u, e.v FROM reach r JOIN edges e ON r.v = e.u)
+SELECT least(u, min(v)) AS group_id, u AS followup_id FROM reach GROUP BY u""",
+    "p6_found": rf"""
+WITH {IDS_SQL}, keyed AS (SELECT followup_id, regexp_replace(lower(nfc_normalize(coalesce(title, ''))), '[\s\p{{P}}\p{{Z}}\p{{C}}]', '', 'g') AS t, coalesce(doi, '') AS d, coalesce(arxivid, '') AS a FROM ids),
+heads AS (SELECT followup_id, min(followup_id) OVER (PARTITION BY t, d, a) AS kept_id FROM keyed)
+SELECT kept_id, followup_id AS copy_id FROM heads WHERE kept_id <> followup_id""",
+    "p6_copy_counts": rf"""
+WITH {IDS_SQL}, keyed AS (SELECT followup_id, regexp_replace(lower(nfc_normalize(coalesce(title, ''))), '[\s\p{{P}}\p{{Z}}\p{{C}}]', '', 'g') AS t, coalesce(doi, '') AS d, coalesce(arxivid, '') AS a FROM ids)
+SELECT min(followup_id) AS kept_id, count(*) AS n_copies FROM keyed GROUP BY t, d, a""",
+}

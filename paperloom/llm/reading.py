@@ -171,13 +171,18 @@ def isotonic(scores: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.array([(p[2] + p[3]) / 2 for p in pools]), np.array([p[0] for p in pools])
 
 
-def fit(anchors: DataFrame) -> Ranker:
-    """Ranker over ``anchors`` (anchor_id, level, text); ``MAX_SAMPLES`` rows at most, by anchor_id."""
+def fit(anchors: DataFrame) -> Ranker | None:
+    """Ranker over ``anchors`` (anchor_id, level, text); ``MAX_SAMPLES`` rows at most, by anchor_id.
+
+    None if there are fewer than two levels to tell apart; every level is null then.
+    """
     rows = anchors.where("text IS NOT NULL AND level IS NOT NULL").orderBy("anchor_id").select("text", "level").limit(MAX_SAMPLES).collect()
+    if len({r["level"] for r in rows}) < 2:
+        return None
     return Ranker([r["text"] for r in rows], [int(r["level"]) for r in rows])
 
 
-def levels(documents: DataFrame, ranker: Ranker) -> DataFrame:
+def levels(documents: DataFrame, ranker: Ranker | None) -> DataFrame:
     """(doc_id, n_chars, language, score, level) of every row of ``documents``."""
 
     @F.pandas_udf("language string, score double, level bigint")
@@ -186,9 +191,9 @@ def levels(documents: DataFrame, ranker: Ranker) -> DataFrame:
         for text in texts:
             words = words_of(bare := sentences_only(text)) if text and text.strip() else Counter()
             spoken.append(language(words))
-            scores.append(ranker.score(bare, words) if words else np.nan)
+            scores.append(ranker.score(bare, words) if words and ranker else np.nan)
         scores = np.array(scores, dtype=float)
-        level = pd.array(np.where(np.isnan(scores), 0, ranker.level(np.nan_to_num(scores))).astype("int64"), dtype="Int64")
+        level = pd.array(ranker.level(np.nan_to_num(scores)).astype("int64") if ranker else [0] * len(scores), dtype="Int64")
         level[np.isnan(scores)] = pd.NA
         return pd.DataFrame({"language": spoken, "score": scores, "level": level})
 
