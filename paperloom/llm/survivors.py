@@ -29,15 +29,21 @@ SALTS = 32
 PLACEHOLDERS = r"^(?i)\W*(no abstract|abstract (not available|missing|unavailable)|see full text|not available|n/?a|none|null|unknown|not found|tbd|pending|preprint server|untitled)?\W*$"
 #: Sentences that web pages and publishers add to a text.
 BOILERPLATE = r"(?i)(cookies help us|accept all\.|all rights reserved|subscribe for access|&copy;|©)"
+#: What such sentences say.
+CLOSING = r"(?i)cookies help us|accept all|all rights reserved|subscribe for access"
+#: Characters that don't count as content.
+IGNORED = " \t\r\n.,;:!?()[]{}<>'\"-–—…“”‘’/\\&*_ "
 #: Counts from here on are sentinels, not citations.
 MAX_CREDIBLE = 100_000_000
 
 
 def abstract_content(text: Column) -> Column:
     """Text without markup paragraphs, boilerplate and marks of truncation."""
-    bare = F.regexp_replace(text, r"(?i)<jats:p>[^<]*(&copy;|©|all rights reserved|subscribe for access)[^<]*</jats:p>", "")
-    bare = F.regexp_replace(bare, r"</?[A-Za-z][^<>]*>", " ")
-    bare = F.regexp_replace(bare, r"(?i)(\s*[^.!?]*(cookies help us|accept all|all rights reserved|subscribe for access)[^.!?]*[.!?])+\s*$", "")
+    # few texts are damaged: only those that show a mark of it pay for the expressions that remove it
+    untagged = F.regexp_replace(text, r"(?i)<jats:p>[^<]*(&copy;|©|all rights reserved|subscribe for access)[^<]*</jats:p>", "")
+    bare = F.when(text.contains("<"), F.regexp_replace(untagged, r"</?[A-Za-z][^<>]*>", " ")).otherwise(text)
+    sentences = F.filter(F.split(bare, r"(?<=[.!?])\s+"), lambda x: ~x.rlike(CLOSING))
+    bare = F.when(text.rlike(CLOSING), F.array_join(sentences, " ")).otherwise(bare)
     return F.regexp_replace(bare, r"\s*(\[truncated\]|…|\.\.\.)\s*$", "")
 
 
@@ -49,7 +55,7 @@ def abstract_clean(text: Column) -> Column:
 
 
 def _content_size(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"[\s\p{P}\p{Z}]", ""))
+    return F.length(F.translate(text, IGNORED, ""))
 
 
 def _offers(papers: DataFrame) -> DataFrame:
