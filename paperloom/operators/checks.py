@@ -25,7 +25,7 @@ def citation_support(citations: DataFrame, sources: DataFrame, position: str, bo
     keyed = citations.where("surname <> ''").withColumn("_head", F.regexp_extract("surname", r"[\p{L}\p{N}]+", 0))
     lowered = sources.select(F.col(position).alias("found_in"), F.lower(body).alias("_body"))
     wanted = keyed.select("_head").distinct()
-    heads = lowered.select("found_in", F.explode(F.array_distinct(F.regexp_extract_all("_body", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("_head")).join(wanted, "_head")
+    heads = lowered.select("found_in", F.explode(F.array_distinct(F.regexp_extract_all("_body", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("_head")).hint("merge").join(wanted, "_head")
     met = heads.join(keyed, "_head").join(lowered, "found_in")
     met = met.withColumn("_name", F.rlike(F.col("_body"), text.word_pattern(F.col("surname")))).where("_name")
     met = met.withColumn("_both", F.rlike(F.col("_body"), text.word_pattern(F.col("year"))))
