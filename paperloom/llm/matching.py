@@ -168,7 +168,8 @@ def dice(a: Column, b: Column) -> Column:
 
 def close_pairs(left: DataFrame, right: DataFrame, scratch: Scratch) -> DataFrame:
     """(l, r): rids of all records with vectors of one kind closer than its number of blocks."""
-    met = _blocks(left, "l").join(_blocks(right, "r"), "key")
+    # exploded blocks are many times what the optimizer expects, so neither side may be broadcast
+    met = _blocks(left, "l").join(_blocks(right, "r").hint("merge"), "key")
     met = met.where(F.bit_count(F.col("l_fold").bitwiseXOR(F.col("r_fold"))) < max(BLOCKS.values())).select("l", "r").distinct()
     a = left.select(F.col("rid").alias("l"), F.col("vectors").alias("lv"))
     b = right.select(F.col("rid").alias("r"), F.col("vectors").alias("rv"))

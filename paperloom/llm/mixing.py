@@ -132,7 +132,8 @@ def mix(documents: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKE
     slots = slots.withColumn("repeat", F.expr("slot div n_blocks"))
     key = F.xxhash64("mix_name", "source", "repeat", F.lit(seed))
     slots = slots.withColumn("block_no", _permuted_udf(F.expr("slot % n_blocks"), "n_blocks", key)).withColumn("place", F.xxhash64("mix_name", "source", "slot", F.lit(seed)))
-    draws = slots.join(blocks(laid, block_tokens), ["mix_name", "source", "block_no"])
+    # slots come out of ranges the optimizer takes for single rows, so they must not be broadcast
+    draws = slots.hint("merge").join(blocks(laid, block_tokens), ["mix_name", "source", "block_no"])
     draws = scratch.save(draws.select("mix_name", "shard", "place", "source", "block_no", "repeat", "doc_id", "start_token", "n_tokens"))
     drawn = draws.groupBy("mix_name", "source").agg(F.sum("n_tokens").alias("drawn_tokens"), F.max("repeat").alias("last_repeat"))
     by_mix = Window.partitionBy("mix_name")

@@ -292,7 +292,8 @@ def attributed(names: DataFrame) -> DataFrame:
     full = forms.where("given <> '' AND substring(given, 1, 1) <> '*'")
     candidates = full.select(*[F.col(c).alias(f"{c}2") for c in ("form", "kind", "given", "surname", "middle", "freq", "spelt", "given_df", "surname_df")], F.explode(_keys_udf("kind", "given", "initial", "surname", F.lit(True))).alias("key"))
     seekers = forms.select("form", F.explode(_keys_udf("kind", "given", "initial", "surname", F.lit(False))).alias("key"))
-    met = seekers.join(candidates, "key").where("form <> form2").drop("key").distinct()
+    # exploded keys are many times what the optimizer expects, so neither side may be broadcast
+    met = seekers.join(candidates.hint("merge"), "key").where("form <> form2").drop("key").distinct()
     met = met.join(forms, "form")
     met = met.withColumn("cost", _channel_udf("kind", "given", "initial", "middle", "surname", "given2", "middle2", "surname2", "kind2")).where(F.col("cost") < 50)
     same_given, same_surname = F.col("given") == F.col("given2"), F.col("surname") == F.col("surname2")
