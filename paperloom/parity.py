@@ -37,8 +37,11 @@ _SPLIT = r"(?:van|von|de|del|della|da|di|du|la|le|el|al|bin|ibn|ter|ten|op)"
 WITH found AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\[\s*(\p{{Lu}}[^\]\[\d]{{0,80}}?)\s+(\d{{4}}[a-z]?)\s*\]')) AS raw FROM documents WHERE doc_kind = 'draft'),
 named AS (SELECT raw, lower(regexp_replace(regexp_extract(raw, '(?i)^\[\s*((?:{_SPLIT}\s+)*[^\s\]]+)', 1), '[^\p{{L}}\p{{N}}]+$', '')) AS surname, regexp_extract(raw, '(\d{{4}})[a-z]?\s*\]$', 1) AS year FROM found),
 sources AS (SELECT doc_id, lower(text) AS body FROM documents WHERE doc_kind <> 'draft'),
-met AS (SELECT raw, doc_id, regexp_matches(body, '(^|[^\p{{L}}\p{{N}}])' || year || '($|[^\p{{L}}\p{{N}}])') AS dated FROM named JOIN sources
-  ON contains(body, surname) AND regexp_matches(body, '(^|[^\p{{L}}\p{{N}}])' || replace(surname, ' ', '\s+') || '($|[^\p{{L}}\p{{N}}])') WHERE surname <> ''),
+words AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(body, '[\p{{L}}\p{{N}}]+')) AS word FROM sources),
+simple AS (SELECT raw, year, doc_id FROM named JOIN words ON word = surname),
+complex AS (SELECT raw, year, doc_id FROM named JOIN sources ON contains(body, surname) AND regexp_matches(body, '(^|[^\p{{L}}\p{{N}}])' || replace(surname, ' ', '\s+') || '($|[^\p{{L}}\p{{N}}])')
+  WHERE surname <> '' AND NOT regexp_full_match(surname, '[\p{{L}}\p{{N}}]+')),
+met AS (SELECT m.raw, m.doc_id, w.word IS NOT NULL AS dated FROM (SELECT * FROM simple UNION ALL SELECT * FROM complex) m LEFT JOIN words w ON w.doc_id = m.doc_id AND w.word = m.year),
 best AS (SELECT raw, min(doc_id) FILTER (WHERE dated) AS both_in, min(doc_id) AS name_in FROM met GROUP BY raw)
 SELECT n.raw, surname, year, CASE WHEN both_in IS NOT NULL THEN 'supported' WHEN name_in IS NOT NULL THEN 'year-mismatch' ELSE 'unsupported' END AS verdict, coalesce(both_in, name_in) AS found_in
 FROM named n LEFT JOIN best b ON n.raw = b.raw""")
