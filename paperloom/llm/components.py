@@ -81,8 +81,8 @@ def connected(edges: DataFrame, bfs_rounds: int = BFS_ROUNDS) -> DataFrame:
             break
         tables.append(frontier)
     seen = spark.read.schema(seen.schema).parquet(*[t._scratch_path for t in tables])
-    smallest = seen.agg(F.min("u").alias("low"))
-    giant = seen.crossJoin(F.broadcast(smallest)).select(F.col("u").alias("id"), F.col("low").alias("group_id"))  # one row beside each
+    low = seen.agg(F.min("u")).first()[0]
+    giant = seen.select(F.col("u").alias("id"), F.lit(low).cast("bigint").alias("group_id"))
     if closed:
         rest = scratch.save(both.join(seen, "u", "left_anti"))
         start = rest.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")).withColumnRenamed("u", "id")

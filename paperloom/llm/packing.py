@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Texts of a shard, on average.
 SHARD_ITEMS = 25_000
+#: Capacities of one call; the list is part of the plan, more are refused.
+MAX_CAPACITIES = 1000
 
 
 def best_two_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -101,7 +103,13 @@ def containers(sized: DataFrame, bins: DataFrame, shard_items: int = SHARD_ITEMS
     """
     shards = max(1, -(-sized.count() // shard_items))
     bins = bins.select("bin_name", F.col("capacity_tokens").cast("bigint").alias("capacity_tokens")).where("capacity_tokens > 0").distinct()
-    items = sized.select("doc_id", "n_tokens").crossJoin(F.broadcast(bins)) if bins.count() <= 1000 else sized.select("doc_id", "n_tokens").crossJoin(bins)  # a list of capacities
+    sizes = bins.orderBy("bin_name", "capacity_tokens").limit(MAX_CAPACITIES + 1).collect()
+    if len(sizes) > MAX_CAPACITIES:
+        raise ValueError(f"more than {MAX_CAPACITIES} capacities")
+    listed = F.array(*[F.struct(F.lit(r[0]).alias("bin_name"), F.lit(r[1]).cast("bigint").alias("capacity_tokens")) for r in sizes])
+    if not sizes:
+        return sized.sparkSession.createDataFrame([], _PIECES)
+    items = sized.select("doc_id", "n_tokens", F.explode(listed).alias("b")).select("doc_id", "n_tokens", "b.*")
     items = items.withColumn("whole", F.expr("n_tokens div capacity_tokens"))
     full = items.where("whole > 0").select("bin_name", "doc_id", "capacity_tokens", F.explode(F.expr("sequence(0L, whole - 1)")).alias("piece_no"))
     full = full.select(
