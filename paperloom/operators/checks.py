@@ -89,4 +89,4 @@ def evidence(points: DataFrame, cards: DataFrame, failures: DataFrame, point: st
 
 def orphaned(points: DataFrame, cards: DataFrame, point: str, card: str) -> DataFrame:
     """(card, point) of cards that name a point which doesn't exist."""
-    return cards.select(card, F.explode("points").alias(point)).join(points.select(point), point, "left_anti")
+    return cards.select(card, F.explode("points").alias(point)).join(points.select(point), point, "left_anti").select(card, point)
