@@ -40,17 +40,17 @@ def documents(spark: SparkSession, folder: str, only: str | list[str] | None = N
 
 def texts(spark: SparkSession, folder: str, glob: str = "*.md", recursive: bool = False) -> DataFrame:
     """(path, name, changed, text) of whole text files."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).text(folder)
+    files = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).text(folder, wholetext=True)
     rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_modification_time").alias("changed"), F.col("value").alias("text"))
     return rows.where(~F.col("name").rlike(r"^[._]"))
 
 
-_FRONT = T.StructType().add("fields", T.MapType(T.StringType(), T.StringType())).add("error", "string")
+_FRONT = T.StructType().add("fields", "string").add("error", "string")
 
 
 @F.pandas_udf(_FRONT)
 def front_matter(bodies: pd.Series) -> pd.DataFrame:
-    """Leading YAML block as {key: text or JSON}; none gives {}, a malformed one an error."""
+    """Leading YAML block as a JSON object {key: text or JSON}; none gives {}, a malformed one an error."""
     import json
     import re
 
@@ -59,21 +59,21 @@ def front_matter(bodies: pd.Series) -> pd.DataFrame:
     def read(body):
         found = re.match(r"\A﻿?---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\Z)", body or "", re.S)
         if not found:
-            return {}, None
+            return "{}", None
         try:
             loaded = yaml.safe_load(found[1]) or {}
         except yaml.YAMLError as broken:
             return None, str(broken).splitlines()[0]
         if not isinstance(loaded, dict):
             return None, "front matter is no mapping"
-        return {str(k): v.strip() if isinstance(v, str) else json.dumps(v, default=str) for k, v in loaded.items() if v is not None}, None
+        return json.dumps({str(k): v.strip() if isinstance(v, str) else json.dumps(v, default=str) for k, v in loaded.items() if v is not None}), None
 
     return pd.DataFrame([read(b) for b in bodies], columns=["fields", "error"])
 
 
 def cards(spark: SparkSession, folder: str) -> DataFrame:
     """(path, name, fields, error): the front matter of every Markdown card."""
-    return texts(spark, folder).withColumn("_f", front_matter("text")).select("path", "name", "_f.fields", "_f.error")
+    return texts(spark, folder).withColumn("_f", front_matter("text")).select("path", "name", F.from_json("_f.fields", "map<string,string>").alias("fields"), "_f.error")
 
 
 def listed(field: Column) -> Column:
@@ -88,7 +88,7 @@ def json_items(spark: SparkSession, path: str, dotted: str, item: str) -> DataFr
     nested = f"array<{item}>"
     for key in reversed(dotted.split(".")):
         nested = f"struct<`{key}`: {nested}>"
-    whole = spark.read.option("wholetext", True).text(path).select(F.from_json("value", nested).alias("v"))
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", nested).alias("v"))
     return whole.select(F.posexplode(F.col("v." + dotted)).alias("item_index", "item"))
 
 
