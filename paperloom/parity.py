@@ -103,7 +103,7 @@ def keyword_index(spark, sf_dir):
 @query("SELECT hit_id, title, year FROM s2_papers ORDER BY year DESC NULLS LAST, title, hit_id LIMIT 500")
 def reference_index(spark, sf_dir):
     papers = table(spark, sf_dir, "s2_papers").select("hit_id", "title", "year")
-    return ranking.capped(papers, [F.desc_nulls_last("year"), "title", "hit_id"], 500)
+    return papers.orderBy(F.desc_nulls_last("year"), "title", "hit_id")
 
 
 @query("""
