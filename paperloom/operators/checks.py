@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperloom.functions import text
 
@@ -58,21 +59,25 @@ def keyword_index(cards: DataFrame, tags: str, title: str, order: list[Column],
 def followup_groups(mentions: DataFrame) -> DataFrame:
     """Follow-ups grouped by one key: DOI, else arXiv id, else title.
 
-    ``mentions`` (pos, title, authors, year, doi, arxivid, reason, card, points); a card
-    naming a work twice counts twice, lists keep the order of first mention.
+    ``mentions`` (pos, title, authors, year, doi, arxivid, reason, card, points), reason
+    and card one value or an array; a card naming a work twice counts twice, lists unite
+    all values and keep the order of first mention.
     """
     key = F.coalesce(F.concat(F.lit("doi:"), "doi"), F.concat(F.lit("arxiv:"), "arxivid"), F.concat(F.lit("title:"), text.title_key(F.col("title"))))
 
     def known(name: str) -> Column:
         return F.min_by(name, F.when(F.col(name).isNotNull(), F.col("pos"))).alias(name)
 
+    def united(name: str) -> Column:
+        values = F.col(name) if isinstance(mentions.schema[name].dataType, T.ArrayType) else F.array(name)
+        ordered = F.array_sort(F.collect_list(F.struct("pos", F.coalesce(values, F.array().cast("array<string>")).alias("v"))))
+        return F.array_distinct(F.flatten(F.transform(ordered, lambda s: s["v"])))
+
     def listed(name: str) -> Column:
-        ordered = F.array_sort(F.collect_list(F.struct("pos", F.col(name).alias("v"))))
-        return F.array_distinct(F.filter(F.transform(ordered, lambda s: s["v"]), lambda v: v.isNotNull() & (v != ""))).alias(f"{name}s")
+        return F.filter(united(name), lambda v: v.isNotNull() & (v != "")).alias(f"{name}s")
 
-    points = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("points", F.array().cast("array<string>")).alias("p")))), lambda s: s["p"])))
     grouped = mentions.withColumn("key", key).groupBy("key")
-    return grouped.agg(F.count("*").alias("mentions"), F.min_by("title", "pos").alias("title"), *[known(c) for c in ("authors", "year", "doi", "arxivid")], listed("reason"), listed("card"), points.alias("points"))
+    return grouped.agg(F.count("*").alias("mentions"), F.min_by("title", "pos").alias("title"), *[known(c) for c in ("authors", "year", "doi", "arxivid")], listed("reason"), listed("card"), united("points").alias("points"))
 
 
 def evidence(points: DataFrame, cards: DataFrame, failures: DataFrame, point: str) -> DataFrame:

@@ -128,7 +128,7 @@ def orphaned_links(spark, sf_dir):
 def _mentions(spark, sf_dir):
     rows = table(spark, sf_dir, "followups")
     doi, arxiv = ids.work_ids(F.col("doi"), F.col("arxivid"))
-    return rows.select(F.col("followup_id").alias("pos"), "title", text.or_null(F.col("authors")).alias("authors"), "year", doi.alias("doi"), arxiv.alias("arxivid"), F.get("reasons", F.lit(0)).alias("reason"), F.get("citedby", F.lit(0)).alias("card"), "points")
+    return rows.select(F.col("followup_id").alias("pos"), "title", text.or_null(F.col("authors")).alias("authors"), "year", doi.alias("doi"), arxiv.alias("arxivid"), F.col("reasons").alias("reason"), F.col("citedby").alias("card"), "points")
 
 
 #: DOI and arXiv id of each followup from whichever field holds them, as SQL.

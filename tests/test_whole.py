@@ -1,6 +1,8 @@
 """Queries do the whole job: inputs that a cap, a first element or an inner join would cut."""
 
 from paperloom import parity
+from paperloom.operators import checks
+from tests.conftest import rows
 
 
 def test_reference_index_lists_every_paper_in_order(spark, tmp_path):
@@ -8,3 +10,14 @@ def test_reference_index_lists_every_paper_in_order(spark, tmp_path):
     spark.createDataFrame(data, "hit_id bigint, title string, year int").write.parquet(f"{tmp_path}/s2_papers.parquet")
     got = [tuple(r) for r in parity.reference_index(spark, str(tmp_path)).collect()]
     assert got == sorted(data, key=lambda r: (r[2] is None, -(r[2] or 0), r[1], r[0]))
+
+
+def test_followups_unite_all_cards_and_reasons(spark, tmp_path):
+    schema = "followup_id bigint, title string, authors string, year int, doi string, arxivid string, reasons array<string>, citedby array<string>, points array<string>"
+    data = [(1, "A", None, None, "10.1234/a", None, ["r1", "r2"], ["c1", "c2", "c1"], ["p"]), (2, "A", None, 2020, "10.1234/a", None, ["r2", None, "", "r3"], ["c2", "c3"], ["q", "p"]),
+            (3, "B", None, None, None, None, None, None, None), (4, "C", None, None, None, None, [], [], [])]
+    spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/followups.parquet")
+    assert rows(parity.followup_collate(spark, str(tmp_path)), "key", "n_cards") == [("doi:10.1234/a", 3), ("title:b", 0), ("title:c", 0)]
+    got = {r.key: r for r in checks.followup_groups(parity._mentions(spark, str(tmp_path))).collect()}
+    assert (got["doi:10.1234/a"].reasons, got["doi:10.1234/a"].cards, got["doi:10.1234/a"].points) == (["r1", "r2", "r3"], ["c1", "c2", "c3"], ["p", "q"])
+    assert (got["title:b"].reasons, got["title:b"].cards, got["title:b"].points) == ([], [], [])
