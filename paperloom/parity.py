@@ -189,7 +189,9 @@ def merged_records(spark, sf_dir):
     records = _records(spark, sf_dir)
     first = F.get("authors", F.lit(0))
     keyed = records.select("pos", F.explode(resolve.record_keys(F.col("title"), first, F.col("doi"), F.col("arxivid"))).alias("key"))
-    return resolve.folded(records.join(resolve.group_labels(keyed), "pos")).select("root", "n_records", "title", "year", "venue", "doi", "arxivid", "citations")
+    # a record without any key has no label and is a work of its own
+    labelled = records.join(resolve.group_labels(keyed), "pos", "left").withColumn("root", F.coalesce("root", "pos"))
+    return resolve.folded(labelled).select("root", "n_records", "title", "year", "venue", "doi", "arxivid", "citations")
 
 
 @query(r"SELECT hit_id, regexp_replace(lower(strip_accents(regexp_replace(title, '\s+', ' ', 'g'))), '[^a-z0-9]+', '', 'g') AS title_key FROM s2_papers")

@@ -21,3 +21,11 @@ def test_followups_unite_all_cards_and_reasons(spark, tmp_path):
     got = {r.key: r for r in checks.followup_groups(parity._mentions(spark, str(tmp_path))).collect()}
     assert (got["doi:10.1234/a"].reasons, got["doi:10.1234/a"].cards, got["doi:10.1234/a"].points) == (["r1", "r2", "r3"], ["c1", "c2", "c3"], ["p", "q"])
     assert (got["title:b"].reasons, got["title:b"].cards, got["title:b"].points) == ([], [], [])
+
+
+def test_records_without_any_key_are_kept(spark, monkeypatch):
+    schema = "pos bigint, title string, authors array<string>, abstract string, year int, venue string, doi string, arxivid string, citations bigint, tags array<string>"
+    work = lambda pos, title, doi=None: (pos, title, ["Jane Doe"], None, 2020, None, doi, None, 1, None)
+    data = [work(2, "深度学习"), work(3, "Машинное обучение"), work(4, "深度学习"), work(5, "تعلم الآلة", "10.1234/a"), work(6, "Tides"), work(8, "Tides"), work(9, "Other", "10.1234/a")]
+    monkeypatch.setattr(parity, "_records", lambda *_: spark.createDataFrame(data, schema))
+    assert rows(parity.merged_records(spark, ""), "root", "n_records") == [(2, 1), (3, 1), (4, 1), (5, 2), (6, 2)]
