@@ -207,9 +207,8 @@ def calibrate(pairs: DataFrame) -> tuple[list[float], list[float]]:
     rows = sorted((r["bin"], r["n"], r["same"]) for r in binned.collect())  # BINS + 1 rows at most
     if sum(n for _, n, _ in rows) < 20:  # too few to learn from: the score is its own confidence
         return [0.0, 1.0], [0.0, 1.0]
-    where = np.repeat([(b + 0.5) / BINS for b, _, _ in rows], [min(n, 10_000) for _, n, _ in rows])
-    share = np.repeat([s / n for _, n, s in rows], [min(n, 10_000) for _, n, _ in rows])
-    knots, values = isotonic(where, share)
+    bins, counts, same = (np.array(c, dtype=float) for c in zip(*rows, strict=True))
+    knots, values = isotonic((bins + 0.5) / BINS, same / counts, counts)
     return knots.tolist(), values.tolist()
 
 

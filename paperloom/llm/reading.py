@@ -158,12 +158,13 @@ class Ranker:
         return np.clip(np.rint(np.interp(scores, self.knots, self.levels)), 1, 5)
 
 
-def isotonic(scores: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(scores: np.ndarray, values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing step curve closest to ``values`` (pool adjacent violators)."""
     order = np.argsort(scores, kind="stable")
+    weights = np.ones(len(scores)) if weights is None else weights
     pools: list[list[float]] = []
-    for s, v in zip(scores[order], values[order], strict=True):
-        pools.append([v, 1.0, s, s])
+    for s, v, w in zip(scores[order], values[order], weights[order], strict=True):
+        pools.append([v, float(w), s, s])
         while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
             v2, n2, _, b2 = pools.pop()
             v1, n1, a1, _ = pools.pop()

@@ -1,6 +1,10 @@
 """Queries do the whole job: inputs that a cap, a first element or an inner join would cut."""
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from paperloom import parity
+from paperloom.llm import matching, reading
 from paperloom.operators import checks
 from tests.conftest import rows
 
@@ -29,3 +33,15 @@ def test_records_without_any_key_are_kept(spark, monkeypatch):
     data = [work(2, "深度学习"), work(3, "Машинное обучение"), work(4, "深度学习"), work(5, "تعلم الآلة", "10.1234/a"), work(6, "Tides"), work(8, "Tides"), work(9, "Other", "10.1234/a")]
     monkeypatch.setattr(parity, "_records", lambda *_: spark.createDataFrame(data, schema))
     assert rows(parity.merged_records(spark, ""), "root", "n_records") == [(2, 1), (3, 1), (4, 1), (5, 2), (6, 2)]
+
+
+def test_calibration_weighs_bins_by_all_their_pairs(spark):
+    # 40,000 agreeing pairs in a lower bin, 10,000 differing ones in the next: four in five of the pool agree
+    pairs = spark.range(50_000).select(F.when(F.col("id") < 40_000, 0.5).otherwise(0.51).alias("score"), (F.col("id") < 40_000).alias("same_doi"))
+    assert matching.calibrate(pairs)[1] == [0.8]
+
+
+def test_isotonic_weights_are_repetitions():
+    scores, values, counts = np.array([1.0, 2, 3, 4]), np.array([0.5, 0.75, 0.25, 1.0]), np.array([2, 1, 4, 3])
+    repeated = reading.isotonic(np.repeat(scores, counts), np.repeat(values, counts))
+    assert all(np.allclose(a, b) for a, b in zip(reading.isotonic(scores, values, counts), repeated, strict=True))
