@@ -315,9 +315,14 @@ def attributed(names: DataFrame) -> DataFrame:
 
     # full forms first; their own variants then tell how freely each author's name is varied
     parent = scratch.save(best(scored.where("NOT short")).select("form", F.col("form2").alias("up"), "posterior"))
-    for _ in range(3):  # a typo of a nickname hangs on the nickname's own author
+    while True:  # a typo of a nickname hangs on the nickname's own author; links rise in standing, so chains end
         above = parent.select(F.col("form").alias("up"), F.col("up").alias("top"))
-        parent = scratch.save(parent.join(above, "up", "left").select("form", F.coalesce("top", "up").alias("up"), "posterior").where("form <> up"))
+        fresh = scratch.save(parent.join(above, "up", "left").select("form", F.coalesce("top", "up").alias("up"), "posterior", F.col("top").isNotNull().alias("moved")))
+        scratch.drop(parent)
+        parent = fresh.drop("moved")
+        parent._scratch_path = fresh._scratch_path
+        if not fresh.where("moved").limit(1).count():
+            break
     rich = parent.join(forms.select("form", "spelt"), "form").groupBy("up").agg(F.sum("spelt").alias("variants")).withColumnRenamed("up", "root")
     brief = scored.where("short").join(parent.select(F.col("form").alias("form2"), "up"), "form2", "left").withColumn("root", F.coalesce("up", "form2"))
     brief = brief.join(rich, "root", "left").withColumn("posterior", F.col("posterior") + 2.0 * F.log1p(F.coalesce(F.col("variants"), F.lit(0)).cast("double")))

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from paperloom import parity
-from paperloom.llm import matching, reading
+from paperloom.llm import matching, names, reading
 from paperloom.operators import checks
 from tests.conftest import rows
 
@@ -45,3 +45,10 @@ def test_isotonic_weights_are_repetitions():
     scores, values, counts = np.array([1.0, 2, 3, 4]), np.array([0.5, 0.75, 0.25, 1.0]), np.array([2, 1, 4, 3])
     repeated = reading.isotonic(np.repeat(scores, counts), np.repeat(values, counts))
     assert all(np.allclose(a, b) for a, b in zip(reading.isotonic(scores, values, counts), repeated, strict=True))
+
+
+def test_long_chains_of_spellings_reach_their_root(spark):
+    # each surname is one letter from the next and two or more from all others
+    surnames = ["xwqzyvjxwqzy"[:i] + "kolmanertiso"[i:] for i in range(13)]
+    spelt = spark.createDataFrame([(f"Robert {s.capitalize()}", i + 1) for i, s in enumerate(surnames)], "name string, n bigint")
+    assert {r.canonical for r in names.attributed(spelt).collect()} == {"person|xwqzyvjxwqzy|robert"}
