@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import ids, text
 
-#: Papers taken from one answer at most, as the services themselves cap them.
+#: Papers a request may ask of each service at most; answers are read whole.
 CAPS = {"arxiv": 100, "semanticscholar": 100, "openalex": 200}
 S2_SCHEMA = (
     "struct<data: array<struct<paperId: string, title: string, abstract: string, year: int, venue: string, citationCount: bigint, "
@@ -51,7 +51,7 @@ def openalex_fields(w) -> list[Column]:
 
 def semantic_scholar(payloads: DataFrame, body: str = "body", *keep: str) -> DataFrame:
     """Papers of search answers ``{data: [...]}``."""
-    papers = payloads.select(*keep, F.posexplode(F.slice(F.from_json(body, S2_SCHEMA)["data"], 1, CAPS["semanticscholar"])).alias("rank", "p"))
+    papers = payloads.select(*keep, F.posexplode(F.from_json(body, S2_SCHEMA)["data"]).alias("rank", "p"))
     names = {"externalids": "externalIds", "openaccesspdf": "openAccessPdf", "paperid": "paperId", "citationcount": "citationCount"}
     return papers.select(*keep, "rank", *s2_fields(lambda n: F.col("p")[names.get(n, n)])).where("title IS NOT NULL")
 
@@ -60,13 +60,13 @@ def openalex(payloads: DataFrame, body: str = "body", *keep: str) -> DataFrame:
     """Papers of answers ``{results: [...]}``; a single work is taken as a list of one."""
     many = F.from_json(body, OPENALEX_SCHEMA)["results"]
     one = F.array(F.from_json(body, OPENALEX_SCHEMA[len("struct<results: array<") : -2]))
-    papers = payloads.select(*keep, F.posexplode(F.slice(F.coalesce(many, one), 1, CAPS["openalex"])).alias("rank", "w"))
+    papers = payloads.select(*keep, F.posexplode(F.coalesce(many, one)).alias("rank", "w"))
     return papers.select(*keep, "rank", *openalex_fields(lambda n: F.col("w")[n])).where("title IS NOT NULL")
 
 
 def arxiv(payloads: DataFrame, body: str = "body", *keep: str) -> DataFrame:
     """Papers of an Atom feed; the entry titled "Error" is none, versions are dropped."""
-    entries = F.slice(F.regexp_extract_all(body, F.lit(r"(?s)<entry\b[^>]*>(.*?)</entry>"), F.lit(1)), 1, CAPS["arxiv"])
+    entries = F.regexp_extract_all(body, F.lit(r"(?s)<entry\b[^>]*>(.*?)</entry>"), F.lit(1))
     rows = payloads.select(*keep, F.posexplode(entries).alias("rank", "e"))
 
     def field(name: str) -> Column:

@@ -1,11 +1,14 @@
 """Queries do the whole job: inputs that a cap, a first element or an inner join would cut."""
 
+import json
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from paperloom import parity
 from paperloom.llm import matching, names, reading
 from paperloom.operators import checks
+from paperloom.sources import adapters
 from tests.conftest import rows
 
 
@@ -52,3 +55,11 @@ def test_long_chains_of_spellings_reach_their_root(spark):
     surnames = ["xwqzyvjxwqzy"[:i] + "kolmanertiso"[i:] for i in range(13)]
     spelt = spark.createDataFrame([(f"Robert {s.capitalize()}", i + 1) for i, s in enumerate(surnames)], "name string, n bigint")
     assert {r.canonical for r in names.attributed(spelt).collect()} == {"person|xwqzyvjxwqzy|robert"}
+
+
+def test_answers_are_read_whole(spark):
+    n = 450
+    entries = "".join(f"<entry><id>http://arxiv.org/abs/{i}</id><title>T{i}</title></entry>" for i in range(n))
+    bodies = {adapters.openalex: json.dumps({"results": [{"title": f"T{i}"} for i in range(n)]}), adapters.semantic_scholar: json.dumps({"data": [{"title": f"T{i}"} for i in range(n)]}), adapters.arxiv: f"<feed>{entries}</feed>"}
+    for read, body in bodies.items():
+        assert rows(read(spark.createDataFrame([(body,)], "body string")), "rank", "title") == [(i, f"T{i}") for i in range(n)]
