@@ -333,7 +333,7 @@ d AS (SELECT name, suggestion, levenshtein(lower(name), lower(suggestion)) AS di
 r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY distance, suggestion) AS place FROM d WHERE distance <= greatest(2, length(name) // 3))
 SELECT name, suggestion, CAST(distance AS INT) AS distance FROM r WHERE place <= 3""")
 def name_suggestions(spark, sf_dir):
-    unknown = table(spark, sf_dir, "s2_papers").where("venue LIKE '% %'").select(F.col("venue").alias("name"))
+    unknown = table(spark, sf_dir, "s2_papers").where(F.trim("venue") != "").select(F.col("venue").alias("name"))
     known = table(spark, sf_dir, "openalex_works").select(F.col("primary_location.source.display_name").alias("name")).where("name IS NOT NULL")
     return ranking.nearest_names(unknown, known)
 

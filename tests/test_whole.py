@@ -63,3 +63,10 @@ def test_answers_are_read_whole(spark):
     bodies = {adapters.openalex: json.dumps({"results": [{"title": f"T{i}"} for i in range(n)]}), adapters.semantic_scholar: json.dumps({"data": [{"title": f"T{i}"} for i in range(n)]}), adapters.arxiv: f"<feed>{entries}</feed>"}
     for read, body in bodies.items():
         assert rows(read(spark.createDataFrame([(body,)], "body string")), "rank", "title") == [(i, f"T{i}") for i in range(n)]
+
+
+def test_single_words_get_name_suggestions_too(spark, tmp_path):
+    spark.createDataFrame([("Natur",), ("Scence Letters",), (" ",), (None,)], "venue string").write.parquet(f"{tmp_path}/s2_papers.parquet")
+    known = spark.createDataFrame([("Nature",), ("Science Letters",)], "name string")
+    known.select(F.struct(F.struct(F.col("name").alias("display_name")).alias("source")).alias("primary_location")).write.parquet(f"{tmp_path}/openalex_works.parquet")
+    assert rows(parity.name_suggestions(spark, str(tmp_path))) == [("Natur", "Nature", 1), ("Scence Letters", "Science Letters", 1)]
