@@ -1,10 +1,18 @@
 """Reading level of each document (problem 9).
 
-Method: a linear pairwise ranker learnt from pairs of graded sample texts over
-vocabulary features (share of each word of the samples) and syntax features, its
-scores calibrated into levels by isotonic regression.  The samples (a fixed table,
-``MAX_SAMPLES`` at most) are fitted on the driver; the model, a weight per word and a
-few numbers, travels with the scoring function, which reads every whole text once.
+Method: a linear pairwise ranker learnt from pairs of graded sample texts, its scores
+calibrated into levels by isotonic regression.  Vocabulary features: every word of the
+samples has a distribution over the grades it is used in, and a weight, large for words
+kept to few grades; a text is described by the weighted mean of its words'
+distributions and grades.  Syntax features: mean and largest sentence length, commas,
+openers of dependent clauses, long words and nominal endings.  A sample's own words are
+left out of the distributions it is described by, so the ranker and its calibration see
+it as they will see a new text.  The scale of the syntax features is chosen by
+cross-validation.
+
+The samples (a fixed table, ``MAX_SAMPLES`` at most) are fitted on the driver; the
+model, two numbers per word and a few more, travels with the scoring function, which
+reads every whole text once.
 
 Texts are judged by their sentences: front matter, headings, tables, reference lists,
 page marks and citation brackets are left out first.  The language is taken from the
@@ -26,13 +34,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bound on the graded samples the ranker is fitted on.
-MAX_SAMPLES = 5000
-#: Pairs drawn for the ranker, if there are more.
-MAX_PAIRS = 200_000
-#: Cross-fitted parts of the calibration.
-FOLDS = 8
-PENALTY, WORD_SCALE, SYNTAX_SCALE = 3e-5, 12.0, 0.05
+#: Bound on the graded samples the ranker is fitted on, by anchor_id; all of their pairs are used.
+MAX_SAMPLES = 1000
+#: Parts of the cross-validation that chooses the scale of the syntax features, and the scales.
+FOLDS, SYNTAX_SCALES = 8, (0.1, 0.3, 1.0)
+PENALTY = 1e-3
+#: Smoothing of a word's distribution, in shares of the median word's mass, and how a
+#: word's weight falls with the variance of its grades: (variance + SPREAD) ** -PURITY.
+SMOOTHING, SPREAD, PURITY = 0.03, 0.15, 3.0
 
 #: Frequent function words of the languages told apart.
 FUNCTION_WORDS = {
@@ -84,78 +93,141 @@ def language(words: Counter) -> str | None:
     return best if votes[best] else None
 
 
+_STOPS = re.compile(r"[.!?]+(?:\s+|\Z)")
+_NOMINAL = ("tion", "ity", "ance", "ence", "ment", "ness", "ism")
+
+
 def _syntax(text: str, words: Counter) -> list[float]:
-    """Words a sentence, commas and clause words a word, letters a word."""
+    """Mean and largest sentence length, commas, clause openers, letters, long words and nominal endings a word."""
     n = max(1, words.total())
-    stops = max(1, text.count(".") + text.count("!") + text.count("?"))
-    return [math.log(n / stops), text.count(",") / n, sum(words[w] for w in _CLAUSE_WORDS & words.keys()) / n, sum(len(w) * k for w, k in words.items()) / n]
+    sizes = [size for part in _STOPS.split(text) if (size := part.count(" ") + part.count("\n") + 1 if part else 0)] or [n]
+    letters = long = nominal = 0
+    for word, k in words.items():
+        size = len(word)
+        letters += size * k
+        if size >= 7:
+            if size >= 10:
+                long += k
+            if word.endswith(_NOMINAL):
+                nominal += k
+    clauses = sum(words[w] for w in _CLAUSE_WORDS & words.keys())
+    return [math.log1p(sum(sizes) / len(sizes)), math.log1p(max(sizes)), text.count(",") / n, clauses / n, letters / n, long / n, nominal / n]
 
 
 class Ranker:
-    """Pairwise linear ranker with isotonic levels.
-
-    The levels are calibrated on scores of samples that the scoring weights have not
-    seen (``FOLDS`` cross-fitted parts), or the samples would look easier to tell apart
-    than other texts.
-    """
+    """Pairwise linear ranker with isotonic levels; see the module for its features."""
 
-    def __init__(self, texts: list[str], levels: list[int], folds: int = FOLDS, **options):
+    def __init__(self, texts: list[str], levels: list[int], scales: tuple[float, ...] = SYNTAX_SCALES, folds: int = FOLDS, penalty: float = PENALTY):
         parts = [(t, words_of(t)) for t in map(sentences_only, texts)]
         grades = np.array(levels, dtype=float)
-        self._learn(parts, grades, **options)
-        scores = np.zeros(len(parts))
         order = np.random.default_rng(5).permutation(len(parts))
-        for fold in range(folds):
-            held = set(order[fold::folds].tolist())
-            rest = [i for i in range(len(parts)) if i not in held]
-            part = Ranker.__new__(Ranker)
-            part._learn([parts[i] for i in rest], grades[rest], **options)
-            for i in held:
-                scores[i] = part.score(*parts[i])
-        self.knots, self.levels = isotonic(scores, grades)
-
-    def _learn(self, parts: list[tuple[str, Counter]], grades: np.ndarray, penalty: float = PENALTY, steps: int = 300, scale: float = WORD_SCALE, syntax_scale: float = SYNTAX_SCALE, seed: int = 7) -> None:
-        seen = Counter(w for _, ws in parts for w in ws)
-        place = {w: i for i, w in enumerate(sorted(w for w, n in seen.items() if n >= 2))}
-        shares = np.zeros((len(parts), len(place)))
-        for row, (_, ws) in enumerate(parts):
-            for w, n in ws.items():
-                if w in place:
-                    shares[row, place[w]] = n
-        shares /= np.maximum(1, shares.sum(1, keepdims=True))
-        syntax = np.array([_syntax(t, ws) for t, ws in parts])
-        self.centre, self.spread = syntax.mean(0), syntax.std(0) + 1e-9
-        features = np.hstack([shares * scale, (syntax - self.centre) / self.spread * syntax_scale])
-        high, low = np.nonzero(grades[:, None] > grades[None, :])
-        if len(high) > MAX_PAIRS:
-            chosen = np.random.default_rng(seed).choice(len(high), MAX_PAIRS, replace=False)
-            high, low = high[chosen], low[chosen]
-        weights, first, second = np.zeros(features.shape[1]), 0.0, 0.0
-        apart = grades[high] - grades[low]
-        for step in range(1, steps + 1):  # Adam on the logistic loss of score differences, wider apart for wider grades
-            scores = features @ weights
-            slope = -apart / (1 + np.exp(np.clip(scores[high] - scores[low] - apart, -30, 30)))
-            push = np.bincount(high, slope, len(features)) - np.bincount(low, slope, len(features))
-            gradient = push @ features / len(high) + penalty * weights
-            first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
-            weights = weights - 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-        self.word_weight = {w: float(weights[i] * scale) for w, i in place.items()}
-        self.syntax_weight = (weights[len(place) :] * syntax_scale / self.spread).tolist()
-        self.centre = self.centre.tolist()
+        right = dict.fromkeys(scales, 0.0)
+        for k in range(folds if len(scales) > 1 else 0):
+            held, rest = order[k::folds], np.sort(np.concatenate([order[j::folds] for j in range(folds) if j != k] or [order[:0]]))
+            if not len(held) or len(set(grades[rest])) < 2:
+                continue
+            features = self._describe([parts[i] for i in rest], grades[rest])
+            for scale in scales:
+                self._learn(features, grades[rest], scale, penalty)
+                right[scale] += float((self.level(np.array([self.score(*parts[i]) for i in held])) == grades[held]).sum())
+        #: Share of held-out samples on their own level, by scale of the syntax features.
+        self.accuracy = {scale: n / len(parts) for scale, n in right.items()}
+        self.scale = max(scales, key=lambda s: right[s])
+        self._learn(self._describe(parts, grades), grades, self.scale, penalty)
+
+    def _describe(self, parts: list[tuple[str, Counter]], grades: np.ndarray) -> np.ndarray:
+        """Features of the samples, each without its own share in the words' distributions."""
+        self.grades = np.unique(grades)
+        place = {w: i for i, w in enumerate(sorted({w for _, ws in parts for w in ws}))}
+        grade = np.searchsorted(self.grades, grades)
+        mass = np.zeros((len(place), len(self.grades)))
+        per_grade = np.bincount(grade, minlength=len(self.grades)).astype(float)
+        rows = []
+        for g, (_, ws) in zip(grade, parts, strict=True):
+            at = np.fromiter((place[w] for w in ws), dtype=np.int64, count=len(ws))
+            n = np.fromiter(ws.values(), dtype=float, count=len(ws))
+            share = n / max(1.0, n.sum())
+            mass[at, g] += share / per_grade[g]
+            rows.append((at, n, share / per_grade[g]))
+        added = SMOOTHING * float(np.median(mass.sum(1))) if len(place) else 1.0
+        prior = per_grade / per_grade.sum()
+
+        def described(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(weight, distribution and mean grade) of words with grade masses ``of``."""
+            known = of.sum(1) > 1e-12
+            spread = (of + added * prior) / (of.sum(1, keepdims=True) + added)
+            mean = spread @ self.grades
+            variance = np.maximum(0.0, spread @ self.grades**2 - mean**2)
+            return known / (variance + SPREAD) ** PURITY, np.column_stack([spread, mean])
+
+        weight, values = described(mass)
+        self.words = {w: (float(weight[i]), values[i]) for w, i in place.items()}
+        self.nothing = np.append(prior, prior @ self.grades)
+        features = []
+        for g, (at, n, own), (text, ws) in zip(grade, rows, parts, strict=True):
+            others = mass[at]
+            others[:, g] -= own
+            weight, values = described(others)
+            total = float(weight @ n)
+            features.append(np.concatenate([(weight * n) @ values / total if total > 0 else self.nothing, _syntax(text, ws)]))
+        return np.array(features)
+
+    def _learn(self, features: np.ndarray, grades: np.ndarray, scale: float, penalty: float) -> None:
+        centre, spread = features.mean(0), features.std(0) + 1e-9
+        n_words = len(self.grades) + 1
+        factor = np.where(np.arange(features.shape[1]) < n_words, 1.0, scale) / spread
+        weights = pairwise(((features - centre) * factor), grades, penalty)
+        slope = weights * factor
+        self.word_slope, self.syntax_slope = slope[:n_words], slope[n_words:].tolist()
+        self.offset = -float(slope @ centre)
+        #: word -> (weight, weight times its part of the score)
+        self.word_parts = {w: (weight, weight * float(values @ self.word_slope)) for w, (weight, values) in self.words.items() if weight > 0}
+        self.no_words = float(self.nothing @ self.word_slope)
+        self.knots, self.levels = isotonic(features @ slope + self.offset, grades)
 
     def score(self, text: str, words: Counter) -> float:
-        total = known = 0
-        weight = self.word_weight
-        for word in weight.keys() & words.keys():
-            n = words[word]
-            known += n
-            total += weight[word] * n
-        grammar = sum((x - c) * w for x, c, w in zip(_syntax(text, words), self.centre, self.syntax_weight, strict=True))
-        return (total / known if known else 0.0) + grammar
+        total = value = 0.0
+        parts = self.word_parts
+        for word in parts.keys() & words.keys():
+            weight, part = parts[word]
+            total += weight * words[word]
+            value += part * words[word]
+        grammar = sum(x * w for x, w in zip(_syntax(text, words), self.syntax_slope, strict=True))
+        return (value / total if total else self.no_words) + grammar + self.offset
 
     def level(self, scores: np.ndarray) -> np.ndarray:
         """Nearest level of the isotonic curve at each score."""
-        return np.clip(np.rint(np.interp(scores, self.knots, self.levels)), 1, 5)
+        return np.clip(np.rint(np.interp(scores, self.knots, self.levels)), self.grades[0], self.grades[-1])
+
+
+def pairwise(features: np.ndarray, grades: np.ndarray, penalty: float, rounds: int = 50) -> np.ndarray:
+    """Weights of the linear pairwise ranker over all pairs of different grades.
+
+    Minimises the mean logistic loss of score differences, wider apart and weightier for
+    wider grades, by Newton steps; the pairs are only ever summed, so all of them count.
+    """
+    apart = np.maximum(0.0, grades[:, None] - grades[None, :])
+    n = max(1, int((apart > 0).sum()))
+    weights = np.zeros(features.shape[1])
+
+    def loss(w: np.ndarray) -> float:
+        scores = features @ w
+        return float((apart * np.logaddexp(0, apart - scores[:, None] + scores[None, :])).sum()) / n + penalty * float(w @ w) / 2
+
+    now = loss(weights)
+    for _ in range(rounds):
+        scores = features @ weights
+        push = 1 / (1 + np.exp(np.clip(scores[:, None] - scores[None, :] - apart, -30, 30)))
+        slope, bend = apart * push, apart * push * (1 - push)
+        gradient = (slope.sum(0) - slope.sum(1)) @ features / n + penalty * weights
+        curve = features.T @ ((bend.sum(0) + bend.sum(1))[:, None] * features - (bend + bend.T) @ features) / n + penalty * np.eye(len(weights))
+        step, part = np.linalg.solve(curve, gradient), 1.0
+        while part > 1e-4 and (then := loss(weights - part * step)) > now:
+            part /= 2
+        if part <= 1e-4 or now - then < 1e-9:
+            break
+        weights, now = weights - part * step, then
+    return weights
 
 
 def isotonic(scores: np.ndarray, values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
