@@ -3,14 +3,21 @@
 Method: noisy-channel attribution.  Spellings are counted and parsed into forms
 (given name, middle initials, surname; or place and words of an organisation), which
 undoes order, case, titles and accents.  Frequent full forms are candidate canonical
-forms; every form is joined with the candidates that share a key with it (surname and
-initial, or surname or given name with one letter deleted) and attached to the one of
-maximum posterior: a frequency prior, and the likelihood of the typo, nickname or
-abbreviation that would turn the candidate into the form.
-
-Nothing is paired within a surname or any other group: a form only meets candidates
-that share one of its keys, on distinct forms and not on rows.  Statistics cover all
-spellings.
+forms; every form is joined with the candidates that share a key with it and attached
+to the one of maximum posterior: a frequency prior, and the likelihood of the typo,
+nickname or abbreviation that would turn the candidate into the form.
+
+The likelihoods are learnt from the data: where a source gives spellings an author id,
+the spellings of one id are labelled pairs (``learn``).  They tell which given names
+are short for which, how often, and how often initials and typos occur.  Names without
+an id, and those of ids not seen, are attributed by what was learnt; ids themselves
+link nothing.  Without any id no nickname is known and default likelihoods hold.
+
+Nothing is paired within a surname or any other group: a form only meets candidates of
+its own given name (or one it is short for) whose surname is one edit away, of its own
+surname whose given name is one edit away, or, if it has initials only, of its initial
+and a surname at most one edit away; on distinct forms and not on rows.  Statistics
+cover all spellings.
 
 Defined results: null and blank names are no names; a spelling that fits no other
 author stands alone; ties go to the smaller form; repeated rows raise the frequency;
@@ -30,22 +37,6 @@ from pyspark.sql import types as T
 
 from paperloom.storage import Scratch
 
-#: Short forms of given names and what they stand for.
-NICKNAMES = {
-    "Abigail": "abby abbie abi gail", "Alexandra": "sasha alex alexa lexi sandra", "Amara": "mara", "Benjamin": "ben benny benji benno", "Christopher": "chris kit topher", "Dmitri": "dima mitya",
-    "Dorothea": "dora dot thea dorrie dolly", "Eilidh": "ailie eily", "Elizabeth": "liz lizzie beth betty betsy lisa eliza bess libby elsie", "Fatima": "fati tima", "Francisco": "paco pancho cisco fran frank",
-    "Frederick": "fred freddie freddy fritz rick", "Giovanni": "gianni gio nino vanni", "Goran": "gogo goca", "Guadalupe": "lupe lupita", "Haruto": "haru", "Helene": "lena leni nell ellie", "Hendrik": "henk rik rick hank",
-    "Ibrahim": "ibo ibra", "Ingrid": "inga inge", "Javier": "javi xavi", "Jonathan": "jon jonny johnny nathan nat", "Josephine": "josie fina jo jojo", "Katherine": "kate katie kathy kit kat kitty", "Leonard": "leo len lenny",
-    "Lucia": "lucy luz luci", "Margaret": "maggie peggy greta meg marge madge rita", "Mehmet": "memo memet", "Michael": "mike mick mickey misha", "Nathaniel": "nat nate", "Nikolai": "kolya niko nick nik",
-    "Oluwaseun": "seun olu", "Oskar": "ossi ozzie", "Paulo": "paulinho", "Priyanka": "priya", "Quentin": "quin quent", "Rajendra": "raj raju", "Rebecca": "becca becky reba", "Robert": "rob bob bert robbie robin bobby",
-    "Rosalind": "roz rosie lindy ros", "Stefan": "stef steve stevo", "Susannah": "sue susie suzy sanna zanna", "Theodore": "ted theo teddy teo", "Tomasz": "tomek tom", "Umberto": "berto", "Ursula": "ulla uschi",
-    "Valerie": "val", "Victoria": "vicky vicki tori tory vic", "Wilhelmina": "mina willa minna helma wilma billie", "William": "will bill billy liam willy wim", "Wojciech": "wojtek", "Yekaterina": "katya kati katja rina",
-    "Yusuf": "yusi", "Zachary": "zach zack zac zak", "Zeynep": "zey zeyno",
-}
-_NICKNAMES: dict[str, list[str]] = {}
-for _full, _shorts in NICKNAMES.items():
-    for _short in _shorts.split():
-        _NICKNAMES.setdefault(_short, []).append(_full.lower().replace("ph", "f"))
 #: Words that stand between given name and surname, and titles.
 _PARTICLES = frozenset("von van der den de la del di da dos bin ibn al el le ter ten zu".split())
 _TITLES = re.compile(r"^(?:(?:Dr|DR|dr|Prof|prof|Professor|Mr|Mrs|Ms|Sir)\b\.?\s+)+")
@@ -54,8 +45,12 @@ _ORG = re.compile(r"\b(?:institute?|inst\.|network|netw\.|working group|group|wg
 _ORG_WORDS = frozenset("institute network working group wg collaboration consortium observatory centre center survey university agency council laboratory society association team project inst netw collab consort obs univ lab".split())
 _GLUE = frozenset("the of for and on in".split())
 
-#: Log-likelihoods of what a typist does to a canonical form.
+#: Negative log-likelihoods of what a typist does to a canonical form, before any labelled pair is seen.
 COSTS = {"nickname": 2.0, "initial": 1.0, "typo": 3.5, "middle_agrees": -2.0, "middle_differs": 6.0}
+#: Labelled pairs the default likelihoods count for.
+PRIOR_PAIRS = 50
+#: A given name is short for another if at least this share of its labelled authors are known by the other.
+NICKNAME_SHARE = 0.1
 #: A given name borne with so many times fewer surnames may be a typo of the other.
 GIVEN_RATIO = 5
 
@@ -163,35 +158,29 @@ def distance(a: str, b: str) -> int:
     return 1 if len(x) == len(y) == 2 and x == y[::-1] else 2
 
 
-def _deletions(word: str) -> set[str]:
-    return {word[:i] + word[i + 1 :] for i in range(len(word))} | {word}
-
-
-def _keys(kind: str, given: str, initial: str, surname: str, canonical: bool) -> list[str]:
-    if kind == "org":
-        return ["o|" + d for d in _deletions(surname)]
-    initials = {initial}
-    if not canonical:
-        initials |= {full[0] for full in _NICKNAMES.get(given, ())}
-    keys = {f"s|{d}|{i}" for d in _deletions(surname) for i in initials}
-    if given:
-        keys |= {f"g|{surname}|{d}" for d in _deletions(given)}
-    return sorted(keys)
+def _deletions(word: str) -> str:
+    """SQL for ``word`` and all words one letter shorter: words one edit apart share one."""
+    return f"array_union(array({word}), transform(sequence(1, greatest(1, length({word}))), i -> concat(substring({word}, 1, i - 1), substring({word}, i + 1))))"
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _keys_udf(kind: pd.Series, given: pd.Series, initial: pd.Series, surname: pd.Series, canonical: pd.Series) -> pd.Series:
-    return pd.Series([_keys(*row) for row in zip(kind, given, initial, surname, canonical, strict=True)])
+def _keys(canonical: bool) -> Column:
+    """Keys under which forms (kind, given, initial, surname, fulls) meet candidates."""
+    surnames, givens = _deletions("surname"), _deletions("given")
+    names = "array(given)" if canonical else "array_union(array(given), transform(fulls, f -> f.full))"
+    full = f"concat(flatten(transform({names}, g -> transform({surnames}, d -> concat('f|', g, '|', d)))), transform({givens}, d -> concat('g|', surname, '|', d)))"
+    brief = f"transform({surnames}, d -> concat('i|', initial, '|', d))"
+    person = f"concat({full}, {brief})" if canonical else f"CASE WHEN given <> '' THEN {full} ELSE {brief} END"
+    return F.expr(f"array_distinct(CASE WHEN kind = 'org' THEN transform({surnames}, d -> concat('o|', d)) ELSE {person} END)")
 
 
-def _org_cost(words: str, other: str) -> float:
+def _org_cost(words: str, other: str, costs: dict) -> float:
     """Cost of writing the organisation ``other`` as ``words``; both without the place."""
     if words == other:
         return 0.0
     long = other.replace("wg", "working group").split()
     if words[:1] == "*" or other[:1] == "*":
         short, full = (words[1:], long) if words[:1] == "*" else (other[1:], words.replace("wg", "working group").split())
-        return COSTS["initial"] + 1 if short == "".join(w[0] for w in full) else math.inf
+        return costs["initial"] + 1 if short == "".join(w[0] for w in full) else math.inf
     short = words.replace("wg", "working group").split()
     cost, at = 0.0, 0
     for word in short:  # in order, each word shortens or misspells one of the other's
@@ -200,7 +189,7 @@ def _org_cost(words: str, other: str) -> float:
                 cost += 0.0 if word == long[step] else 0.5
                 break
             if distance(word, long[step]) == 1 and len(word) > 1:
-                cost += COSTS["typo"]
+                cost += costs["typo"]
                 break
         else:
             return math.inf
@@ -209,35 +198,46 @@ def _org_cost(words: str, other: str) -> float:
     return cost + 1.0 * (len(long) - at) if len(short) * 2 >= len(long) else math.inf
 
 
-def channel(kind: str, given: str, initial: str, middle: str, surname: str, given2: str, middles2: str, surname2: str, kind2: str) -> float:
-    """Negative log-likelihood of the first form, typed for the canonical second one; infinite if it isn't one."""
+def channel(kind: str, given: str, initial: str, middle: str, surname: str, given2: str, middles2: str, surname2: str, kind2: str, nickname: float | None = None, costs: dict = COSTS) -> float:
+    """Negative log-likelihood of the first form, typed for the canonical second one; infinite if it isn't one.
+
+    ``nickname``: that of the given name as a short form of the second one, if it is known as one.
+    """
     if kind != kind2:
         return math.inf
     apart = distance(surname, surname2)
     if apart > 1 or (apart and min(len(surname), len(surname2)) < 4):
         return math.inf
-    cost = COSTS["typo"] * apart
+    cost = costs["typo"] * apart
     if kind == "org":
-        return cost + _org_cost(given, given2)
+        return cost + _org_cost(given, given2, costs)
     if not given:
         if initial and given2[:1] != initial:
             return math.inf
-        cost += COSTS["initial"]
+        cost += costs["initial"]
     elif given != given2:
-        if given2 in _NICKNAMES.get(given, ()):
-            cost += COSTS["nickname"]
+        if nickname is not None and nickname == nickname:
+            cost += nickname
         elif distance(given, given2) == 1 and min(len(given), len(given2)) > 3 and not apart:
-            cost += COSTS["typo"]
+            cost += costs["typo"]
         else:
             return math.inf
     if middle and middles2:
-        cost += COSTS["middle_agrees"] if set(middle) & set(middles2) else COSTS["middle_differs"]
+        cost += costs["middle_agrees"] if set(middle) & set(middles2) else costs["middle_differs"]
     return cost
 
 
-@F.pandas_udf(T.DoubleType())
-def _channel_udf(kind: pd.Series, given: pd.Series, initial: pd.Series, middle: pd.Series, surname: pd.Series, given2: pd.Series, middles2: pd.Series, surname2: pd.Series, kind2: pd.Series) -> pd.Series:
-    return pd.Series([channel(*row) for row in zip(kind, given, initial, middle, surname, given2, middles2, surname2, kind2, strict=True)])
+def _channel_column(costs: dict) -> Column:
+    @F.pandas_udf(T.DoubleType())
+    def priced(kind: pd.Series, given: pd.Series, initial: pd.Series, middle: pd.Series, surname: pd.Series, given2: pd.Series, middles2: pd.Series, surname2: pd.Series, kind2: pd.Series, nickname: pd.Series) -> pd.Series:
+        return pd.Series([channel(*row, costs=costs) for row in zip(kind, given, initial, middle, surname, given2, middles2, surname2, kind2, nickname, strict=True)])
+
+    return priced("kind", "given", "initial", "middle", "surname", "given2", "middle2", "surname2", "kind2", "nickname")
+
+
+@F.pandas_udf(T.IntegerType())
+def _distance_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([distance(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
 def spellings(*columns: DataFrame) -> DataFrame:
@@ -261,6 +261,13 @@ def all_names(papers: DataFrame, works: DataFrame, followups: DataFrame) -> Data
     return spellings(s2, openalex, followup_names(followups))
 
 
+def labelled_names(papers: DataFrame, works: DataFrame) -> DataFrame:
+    """(person, name): spellings under the author id a source gave them."""
+    s2 = papers.select(F.explode("authors").alias("a")).select(F.concat(F.lit("s"), "a.authorid").alias("person"), "a.name")
+    openalex = works.select(F.explode("authorships").alias("a")).select(F.concat(F.lit("o"), "a.author.id").alias("person"), F.col("a.author.display_name").alias("name"))
+    return s2.union(openalex).where("person IS NOT NULL AND name IS NOT NULL").distinct()
+
+
 _FORM = ["kind", "given", "initial", "middle", "surname"]
 
 
@@ -278,8 +285,39 @@ def _chosen_readings(names: DataFrame) -> DataFrame:
     return scored.groupBy("name").agg(F.max_by(F.struct("n", *_FORM), F.struct(merit, -F.col("no"))).alias("best")).select("name", "best.*")
 
 
-def attributed(names: DataFrame) -> DataFrame:
-    """(name, n, canonical, posterior): the canonical form each spelling of ``names`` (name, n) is attached to."""
+def learn(read: DataFrame, forms: DataFrame, labelled: DataFrame, scratch: Scratch) -> tuple[DataFrame, dict]:
+    """(short forms, likelihoods) from the spellings of ``labelled`` (person, name), an author id each.
+
+    The commonest given name of an id is its canonical one; every other spelling of the
+    id with a form of its own is compared with that one alone, so an id with any number
+    of spellings costs as many rows.  Short forms: (given, fulls array<struct<full,
+    cost>>); as every id has one canonical name and the share a full name needs is
+    ``NICKNAME_SHARE``, a given name has 1 / NICKNAME_SHARE full ones at most.
+    """
+    known = read.where("kind = 'person'").select("name", "given", "initial", "surname", "form").join(forms.select("form", "given_df", "freq"), "form")
+    rows = labelled.join(known, "name").groupBy("person", "given", "initial", "surname").agg(F.max("given_df").alias("df"), F.max("freq").alias("freq"))
+    rows = scratch.save(rows)
+    modes = rows.where("given <> ''").groupBy("person").agg(F.max(F.struct("df", "freq", "given", "surname")).alias("m")).select("person", F.col("m.given").alias("full"), F.col("m.surname").alias("full_surname"))
+    met = rows.join(modes, "person").withColumn("apart", _distance_udf("given", "full")).withColumn("surname_apart", _distance_udf("surname", "full_surname"))
+    met = scratch.save(met)
+    own = met.where("given <> '' AND surname_apart = 0").groupBy("given", "full").agg(F.count("*").alias("n"), F.max("apart").alias("apart"))
+    borne = own.groupBy("given").agg(F.sum("n").alias("all"))
+    called = modes.groupBy("full").agg(F.count("*").alias("authors"))
+    pairs = own.where("given <> full AND apart > 1").join(borne, "given").join(called, "full").where(F.col("n") >= NICKNAME_SHARE * F.col("all"))
+    cost = -F.log((F.col("n") + 0.5) / (F.col("authors") + 1.0))
+    short = pairs.groupBy("given").agg(F.array_sort(F.collect_list(F.struct("full", cost.alias("cost")))).alias("fulls"))
+    counts = met.agg(F.count("*").alias("n"), F.count_if(F.expr("given = ''")).alias("initial"), F.count_if(F.expr("(given <> '' AND apart = 1 AND surname_apart = 0) OR (surname_apart = 1 AND given IN ('', full))")).alias("typo")).first()
+    costs = dict(COSTS)
+    for kind in ("initial", "typo"):
+        costs[kind] = -math.log((counts[kind] + PRIOR_PAIRS * math.exp(-COSTS[kind])) / (counts["n"] + PRIOR_PAIRS))
+    return scratch.save(short), costs
+
+
+def attributed(names: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """(name, n, canonical, posterior): the canonical form each spelling of ``names`` (name, n) is attached to.
+
+    ``labelled`` (person, name): spellings under author ids, to learn the likelihoods from.
+    """
     scratch = Scratch(names.sparkSession, "names")
     read = scratch.save(_chosen_readings(names))
     identity = F.concat_ws("|", "kind", "surname", F.when(F.col("given") != "", F.col("given")).otherwise(F.concat(F.lit("~"), F.col("initial"), F.lit("~"), F.col("middle"))))
@@ -288,20 +326,27 @@ def attributed(names: DataFrame) -> DataFrame:
     usual = forms.where("kind = 'person' AND given <> ''").groupBy("given").agg(F.count_distinct("surname").alias("given_df"))
     borne = forms.where("kind = 'person' AND given <> ''").groupBy("surname").agg(F.count_distinct("given").alias("surname_df"))
     forms = scratch.save(forms.join(usual, "given", "left").join(borne, "surname", "left").fillna(0, ["given_df", "surname_df"]))
+    none = F.array().cast("array<struct<full:string,cost:double>>")
+    costs = COSTS
+    if labelled is None:
+        forms = forms.withColumn("fulls", none)
+    else:
+        short, costs = learn(read, forms, labelled, scratch)
+        forms = scratch.save(forms.join(short, "given", "left").withColumn("fulls", F.when(F.col("kind") == "person", F.coalesce("fulls", none)).otherwise(none)))
 
     full = forms.where("given <> '' AND substring(given, 1, 1) <> '*'")
-    candidates = full.select(*[F.col(c).alias(f"{c}2") for c in ("form", "kind", "given", "surname", "middle", "freq", "spelt", "given_df", "surname_df")], F.explode(_keys_udf("kind", "given", "initial", "surname", F.lit(True))).alias("key"))
-    seekers = forms.select("form", F.explode(_keys_udf("kind", "given", "initial", "surname", F.lit(False))).alias("key"))
+    candidates = full.select(*[F.col(c).alias(f"{c}2") for c in ("form", "kind", "given", "surname", "middle", "freq", "spelt", "given_df", "surname_df")], F.explode(_keys(True)).alias("key"))
+    seekers = forms.select("form", F.explode(_keys(False)).alias("key"))
     # exploded keys are many times what the optimizer expects, so neither side may be broadcast
     met = seekers.join(candidates.hint("merge"), "key").where("form <> form2").drop("key").distinct()
-    met = met.join(forms, "form")
-    met = met.withColumn("cost", _channel_udf("kind", "given", "initial", "middle", "surname", "given2", "middle2", "surname2", "kind2")).where(F.col("cost") < 50)
+    met = met.join(forms, "form").withColumn("nickname", F.expr("get(filter(fulls, f -> f.full = given2), 0).cost"))
+    met = met.withColumn("cost", _channel_column(costs)).where("cost < 50")
     same_given, same_surname = F.col("given") == F.col("given2"), F.col("surname") == F.col("surname2")
     # of two spellings of a surname the one with more bearers, then more rows, is the canonical one
     standing = [F.struct(F.col(f"surname_df{x}").alias("bearers"), F.col(f"freq{x}").alias("rows"), F.col(f"form{x}").alias("form")) for x in ("", "2")]
     rarer = standing[0] < standing[1]
     short = (F.col("given") == "") | (F.substring("given", 1, 1) == "*")
-    nick = ~same_given & same_surname & (F.col("cost") < COSTS["typo"]) & (F.col("given_df") * 2 < F.col("given_df2"))
+    nick = F.col("nickname").isNotNull() & same_surname & (F.col("given_df") * 2 < F.col("given_df2"))
     wrong_given = ~same_given & same_surname & (F.col("given_df") * GIVEN_RATIO <= F.col("given_df2"))
     wrong_surname = ~same_surname & rarer & (same_given | (F.col("given_df") * 2 < F.col("given_df2")))
     allowed = F.when(F.col("kind") == "org", short | rarer).otherwise(short | nick | wrong_given | wrong_surname)
@@ -331,8 +376,8 @@ def attributed(names: DataFrame) -> DataFrame:
     return read.select("name", "n", "form").join(attached, "form", "left").select("name", "n", F.coalesce("up", "form").alias("canonical"), "posterior")
 
 
-def spelling_pairs(names: DataFrame) -> DataFrame:
+def spelling_pairs(names: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """(name_a, name_b): all pairs of spellings of one author, name_a < name_b."""
-    a = attributed(names).select("canonical", "name")
+    a = attributed(names, labelled).select("canonical", "name")
     a = Scratch(names.sparkSession, "pairs").save(a)
     return a.toDF("canonical", "name_a").join(a.toDF("canonical", "name_b"), "canonical").where("name_a < name_b").select("name_a", "name_b")

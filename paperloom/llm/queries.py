@@ -21,12 +21,16 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.all_names(*[table(spark, sf_dir, t) for t in ("s2_papers", "openalex_works", "followups")])
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.labelled_names(table(spark, sf_dir, "s2_papers"), table(spark, sf_dir, "openalex_works"))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names.spelling_pairs(_names(spark, sf_dir))
+    return names.spelling_pairs(_names(spark, sf_dir), _labelled(spark, sf_dir))
 
 
 def p1_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names.attributed(_names(spark, sf_dir))
+    return names.attributed(_names(spark, sf_dir), _labelled(spark, sf_dir))
 
 
 def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:

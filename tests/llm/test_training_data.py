@@ -114,8 +114,24 @@ CLUSTERS = [
 def test_spellings_of_one_author(spark):
     crowd = [f"{g} {s}" for g in ("Abigail", "Benjamin", "Nikolai", "Ursula", "Stefan", "Noor") for s in ("Vutezek", "Zadofild", "Kevotirn", "Bafobrock", "Rosodal", "Mohostald", "Tetijur")]
     spelt = [(n,) for c in CLUSTERS for k, n in enumerate(c) for _ in range(12 if k == 0 else 3)] + [(n,) for n in crowd for _ in range(4)] + [(None,), (" ",), ("-",)]
-    got = set(rows(names.spelling_pairs(names.spellings(spark.createDataFrame(spelt, "name string")))))
-    assert got == {(a, b) for c in CLUSTERS for a in c for b in c if a < b}
+    # short forms are learnt from other authors, whose spellings carry an id; a single wrong id teaches nothing
+    taught = [("a", "Abigail Pervolt"), ("a", "Gail Pervolt"), ("b", "Nikolai Dustrel"), ("b", "Kolya Dustrel"), ("c", "Noor Vutezek"), ("c", "Stefan Vutezek"), *((f"d{i}", n) for i, n in enumerate(crowd)), ("e", None)]
+    spelt += [(n,) for _, n in taught]
+    names_, ids = names.spellings(spark.createDataFrame(spelt, "name string")), spark.createDataFrame(taught, "person string, name string")
+    got = set(rows(names.spelling_pairs(names_, ids)))
+    own = [["Abigail Pervolt", "Gail Pervolt"], ["Kolya Dustrel", "Nikolai Dustrel"]]
+    assert got == {(a, b) for c in CLUSTERS + own for a in c for b in c if a < b}
+    untaught = set(rows(names.spelling_pairs(names_)))
+    assert untaught < got and ("Kolya Nöstoveck", "Nikolai Nöstoveck") not in untaught
+
+
+def test_short_forms_nobody_listed(spark):
+    people = [("Zorander", "Quib"), ("Meldrith", "Oxy"), ("Tarquille", "Benno")]
+    places = ["Vutezek", "Zadofild", "Kevotirn", "Bafobrock", "Rosodal", "Mohostald", "Tetijur", "Gramblet"]
+    spelt = [(f"{g} {s}",) for full, _ in people for s in places for g in [full] * 3] + [(f"{short} {s}",) for (_, short), s in zip(people, places)] + [(f"{short} Gramblet",) for _, short in people]
+    taught = [(f"{full}{s}", f"{g} {s}") for (full, short), s in zip(people, places) for g in (full, short)]
+    got = set(rows(names.spelling_pairs(names.spellings(spark.createDataFrame(spelt, "name string")), spark.createDataFrame(taught, "person string, name string"))))
+    assert got == {tuple(sorted((f"{full} {s}", f"{short} {s}"))) for k, (full, short) in enumerate(people) for s in (places[k], "Gramblet")}
 
 
 def test_followup_names_and_empty_tables(spark):
