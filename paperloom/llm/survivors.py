@@ -6,12 +6,18 @@ by completeness, trust and recency with a deterministic tie-break: a window orde
 the values of each (group, field, salt) and a second one the winners of the salts,
 so that no group, however large, is ordered in one task.
 
-* abstract: the longest content (letters, markup and boilerplate aside) any row
+* abstract: the longest content (letters, markup and stock sentences aside) any row
   shows is the complete one; it survives if some row holds it undamaged.
 * openaccesspdf: whole file url with a status.
-* citationcount: latest credible count (sentinels and negatives are not credible; a
+* citationcount: latest credible count (negatives and sentinels are not credible; a
   zero only where no row has more).
-* venue: the longest spelling that is no abbreviation of another venue of the corpus.
+* venue: the longest spelling that is capitalised and no abbreviation of another venue
+  of the corpus.
+
+What publishers and web pages add to a text is learnt from the corpus, not listed: a
+sentence in the abstracts of ``STOCK_PAPERS`` papers or more is a stock sentence
+("All rights reserved.", "No abstract."), which is no content.  Sentinels are counts
+beyond a gap of ``SENTINEL_GAP`` powers of two in which no paper has its count.
 
 Defined results: rows without paperid are ignored; a field without a usable value
 has no survivor; equal values are represented by the smallest hit_id; repeated rows
@@ -23,34 +29,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.storage import Scratch
+
 #: Parts a group's values are spread over while they are ordered.
 SALTS = 32
-#: Texts that stand for a missing value.
-PLACEHOLDERS = r"^(?i)\W*(no abstract|abstract (not available|missing|unavailable)|see full text|not available|n/?a|none|null|unknown|not found|tbd|pending|preprint server|untitled)?\W*$"
-#: Sentences that web pages and publishers add to a text.
-BOILERPLATE = r"(?i)(cookies help us|accept all\.|all rights reserved|subscribe for access|&copy;|©)"
-#: What such sentences say.
-CLOSING = r"(?i)cookies help us|accept all|all rights reserved|subscribe for access"
+#: Papers whose abstracts share a sentence from which on it is a stock sentence.
+STOCK_PAPERS = 5
+#: Empty powers of two that part sentinels from counts.
+SENTINEL_GAP = 5
 #: Characters that don't count as content.
 IGNORED = " \t\r\n.,;:!?()[]{}<>'\"-–—…“”‘’/\\&*_ "
-#: Counts from here on are sentinels, not citations.
-MAX_CREDIBLE = 100_000_000
-
-
-def abstract_content(text: Column) -> Column:
-    """Text without markup paragraphs, boilerplate and marks of truncation."""
-    # few texts are damaged: only those that show a mark of it pay for the expressions that remove it
-    untagged = F.regexp_replace(text, r"(?i)<jats:p>[^<]*(&copy;|©|all rights reserved|subscribe for access)[^<]*</jats:p>", "")
-    bare = F.when(text.contains("<"), F.regexp_replace(untagged, r"</?[A-Za-z][^<>]*>", " ")).otherwise(text)
-    sentences = F.filter(F.split(bare, r"(?<=[.!?])\s+"), lambda x: ~x.rlike(CLOSING))
-    bare = F.when(text.rlike(CLOSING), F.array_join(sentences, " ")).otherwise(bare)
-    return F.regexp_replace(bare, r"\s*(\[truncated\]|…|\.\.\.)\s*$", "")
+_CUT_MARK = r"\s*(\[truncated\]|…|\.\.\.)\s*$"
 
 
 def abstract_clean(text: Column) -> Column:
     """Whether a text shows no damage: whole sentences, no markup, no replacement characters."""
-    damaged = text.rlike("�") | text.rlike(r"</?[A-Za-z][^<>]*>|&[a-z]+;") | text.rlike(BOILERPLATE)
-    whole = text.rlike(r"^\s*[\"'“‘(\[]?[\p{Lu}\p{N}]") & text.rlike(r"[.!?][\"'”’)\]]?\s*$") & ~text.rlike(r"(\.\.\.|…|\[truncated\])\s*$")
+    damaged = text.rlike("\ufffd") | text.rlike(r"</?[A-Za-z][^<>]*>|&[a-z]+;")
+    whole = text.rlike(r"^\s*[\"'“‘(\[]?[\p{Lu}\p{N}]") & text.rlike(r"[.!?][\"'”’)\]]?\s*$") & ~text.rlike(_CUT_MARK)
     return ~damaged & whole & ~text.rlike(r"[a-z)][.!?]\s+\p{Ll}")
 
 
@@ -58,12 +53,49 @@ def _content_size(text: Column) -> Column:
     return F.length(F.translate(text, IGNORED, ""))
 
 
-def _offers(papers: DataFrame) -> DataFrame:
+def _sentences(text: Column) -> Column:
+    """(hash, content size) of the sentences of a text, markup being a border, too."""
+    parts = F.split(F.regexp_replace(text, _CUT_MARK, ""), r"(?<=[.!?])\s+|</?[A-Za-z][^<>]*>|\n")
+    return F.filter(F.transform(parts, lambda x: F.struct(F.xxhash64(F.lower(F.trim(x))).alias("hash"), _content_size(x).alias("size"))), lambda x: x["size"] > 0)
+
+
+def coded(papers: DataFrame) -> DataFrame:
+    """The values of each hit without their texts, which are read once."""
+    abstract, pdf = F.col("abstract"), F.col("openaccesspdf")
+    return papers.where("paperid IS NOT NULL").select(
+        "paperid", "hit_id", "retrieved_at", F.sha2("abstract", 256).alias("abstract_value"), _sentences(abstract).alias("sentences"), abstract_clean(abstract).alias("clean"),
+        F.coalesce(pdf["url"].rlike(r"(?i)^https?://[^/\s]+\.[^/\s]+/\S+\.pdf$") & pdf["status"].rlike(r"\S"), F.lit(False)).alias("whole_url"), F.sha2(F.to_json(pdf), 256).alias("pdf_value"),
+        "citationcount", "venue",
+    )
+
+
+def stock_sizes(coded: DataFrame, scratch: Scratch, papers: int = STOCK_PAPERS) -> DataFrame:
+    """(value, stock): how much of each abstract is stock sentences, of those that have any."""
+    shown = coded.select("paperid", F.col("abstract_value").alias("value"), F.explode("sentences").alias("s")).select("paperid", "value", "s.hash", "s.size")
+    stock = shown.select("hash", "paperid").distinct().groupBy("hash").count().where(F.col("count") >= papers).select("hash")
+    # a stored table has a known size: Spark broadcasts it if it is small and merges otherwise
+    found = shown.join(scratch.save(stock), "hash", "left_semi").groupBy("value", "paperid").agg(F.sum("size").alias("stock"), F.count("*").alias("n"))
+    # copies of one value under one paper are the same text: its share counts once
+    copies = coded.groupBy(F.col("abstract_value").alias("value"), "paperid").agg(F.count("*").alias("rows"))
+    return found.join(copies, ["value", "paperid"]).groupBy("value").agg(F.max(F.expr("stock div rows")).alias("stock"))
+
+
+def credible_below(coded: DataFrame, gap: int = SENTINEL_GAP) -> int:
+    """The smallest count that is a sentinel; one row per power of two, 63 at most, comes to the driver."""
+    rows = coded.where("citationcount > 0").select(F.floor(F.log2("citationcount") + 1e-9).cast("int").alias("octave")).distinct().collect()
+    octaves = sorted(r["octave"] for r in rows)
+    for low, high in zip(octaves, octaves[1:], strict=False):
+        if high - low > gap:
+            return 2 ** (low + 1)
+    return 2**63 - 1
+
+
+def _offers(coded: DataFrame, too_much: int) -> DataFrame:
     """One row per hit and field: usable, the ranks and a hash that stands for the value."""
-    abstract, venue, pdf, count = F.col("abstract"), F.col("venue"), F.col("openaccesspdf"), F.col("citationcount")
-    has_text = abstract.isNotNull() & ~abstract.rlike(PLACEHOLDERS)
-    whole_url = pdf["url"].rlike(r"(?i)^https?://[^/\s]+\.[^/\s]+/\S+\.pdf$") & pdf["status"].rlike(r"\S")
-    named = venue.isNotNull() & ~venue.rlike(PLACEHOLDERS) & venue.rlike(r"^\s*\p{Lu}")
+    venue, count = F.col("venue"), F.col("citationcount")
+    has_text = F.size("sentences") > 0
+    named = venue.rlike(r"^\s*\p{Lu}")
+    size = F.aggregate("sentences", F.lit(0), lambda n, s: n + s["size"])
     zero = F.lit(0)
 
     def offer(name: str, shown: Column, usable: Column, size: Column, trust: Column, value: Column, text: Column) -> Column:
@@ -75,19 +107,19 @@ def _offers(papers: DataFrame) -> DataFrame:
         )
 
     nothing = F.lit(None).cast("string")
+    credible = (count >= 0) & (count < too_much)
     fields = F.array(
-        offer("abstract", has_text, has_text & abstract_clean(abstract), _content_size(abstract_content(abstract)), F.lit(1), F.sha2(abstract, 256), nothing),
-        offer("openaccesspdf", whole_url, whole_url, zero, F.lit(1), F.sha2(F.to_json(pdf), 256), nothing),
-        offer("citationcount", count.between(0, MAX_CREDIBLE - 1), count.between(0, MAX_CREDIBLE - 1), zero, (count > 0).cast("int"), count.cast("string"), nothing),
+        offer("abstract", has_text, has_text & F.col("clean"), size, F.lit(1), F.col("abstract_value"), nothing),
+        offer("openaccesspdf", F.col("whole_url"), F.col("whole_url"), zero, F.lit(1), F.col("pdf_value"), nothing),
+        offer("citationcount", credible, credible, zero, (count > 0).cast("int"), count.cast("string"), nothing),
         offer("venue", named, named & ~venue.rlike(r"\.(\s|$)"), _content_size(venue), F.lit(1), F.sha2(venue, 256), venue),
     )
-    rows = papers.where("paperid IS NOT NULL").select("paperid", "hit_id", "retrieved_at", F.explode(fields).alias("f"))
-    return rows.select("paperid", "hit_id", "retrieved_at", "f.*")
+    return coded.select("paperid", "hit_id", "retrieved_at", F.explode(fields).alias("f")).select("paperid", "hit_id", "retrieved_at", "f.*")
 
 
 def abbreviated_venues(papers: DataFrame) -> DataFrame:
     """Venue spellings whose every word shortens the word at its place in another venue."""
-    names = papers.select("venue").where(F.col("venue").isNotNull() & ~F.col("venue").rlike(PLACEHOLDERS)).distinct()
+    names = papers.select("venue").where("venue IS NOT NULL").distinct()
     words = F.filter(F.split(F.regexp_replace(F.lower("venue"), r"[^\p{L}\p{N}]+", " "), " "), lambda w: (F.length(w) > 0) & ~w.isin("of", "the", "on", "in", "and", "for", "a"))
     names = names.withColumn("words", words).withColumn("sign", F.array_join(F.transform("words", lambda w: F.substring(w, 1, 1)), ""))
     names = names.withColumn("phrase", F.array_join("words", " ")).where("length(sign) > 0")
@@ -99,8 +131,14 @@ def abbreviated_venues(papers: DataFrame) -> DataFrame:
 
 def best_values(papers: DataFrame) -> DataFrame:
     """(paperid, field_name, hit_id, n_rows) of the surviving value of each group and field."""
+    scratch = Scratch(papers.sparkSession, "survivors")
+    rows = scratch.save(coded(papers))
     value = ["paperid", "field_name", "value", "shown", "usable", "size", "trust", "text"]
-    merged = _offers(papers).groupBy(*value).agg(F.min("hit_id").alias("hit_id"), F.max("retrieved_at").alias("seen"), F.count("*").alias("n"))
+    merged = _offers(rows, credible_below(rows)).groupBy(*value).agg(F.min("hit_id").alias("hit_id"), F.max("retrieved_at").alias("seen"), F.count("*").alias("n"))
+    # stock sentences are no content, and a text with some isn't undamaged
+    stock = stock_sizes(rows, scratch).withColumn("field_name", F.lit("abstract"))
+    merged = merged.join(stock, ["field_name", "value"], "left").withColumn("size", F.col("size") - F.coalesce("stock", F.lit(0)))
+    merged = merged.withColumn("shown", F.expr("shown AND (stock IS NULL OR size > 0)")).withColumn("usable", F.expr("usable AND stock IS NULL"))
     # the largest content comes first, undamaged before damaged, then trust, recency and the value itself
     order = [F.desc("shown"), F.desc("size"), F.desc("usable"), F.desc("trust"), F.desc("seen"), F.asc("hit_id")]
     group = ["paperid", "field_name"]

@@ -94,7 +94,11 @@ def test_best_value_of_each_field(spark):
         paper("p", 4, 5, "Th� tide r�se. It fell again later on.", None, -9, ""),
         paper("q", 5, 1, "The tide ro…", None, None, None), paper("q", 6, 2, "No abstract.", ("", ""), None, "preprint server"), paper(None, 7), paper("r", 8, 1, full, None, 0, "Letters in Tides"),
     ]
-    got = {(r.paperid, r.field_name): (r.hit_id, r.n_rows) for r in survivors.best_values(spark.createDataFrame(data, PAPERS)).collect()}
+    # what recurs over unrelated papers is no content
+    data += [paper(f"c{i}", 100 + i, 1, "No abstract.") for i in range(4)] + [paper(f"d{i}", 200 + i, 1, f"Reef {i} grew. &copy; All rights reserved.") for i in range(4)]
+    best = {(r.paperid, r.field_name): (r.hit_id, r.n_rows) for r in survivors.best_values(spark.createDataFrame(data, PAPERS)).collect()}
+    got = {k: v for k, v in best.items() if k[0] in "pqr"}
+    assert not any(f == "abstract" for p, f in best if p[0] in "cd")
     assert got == {("p", "abstract"): (3, 5), ("p", "openaccesspdf"): (9, 5), ("p", "citationcount"): (3, 5), ("p", "venue"): (3, 5), ("r", "abstract"): (8, 1), ("r", "citationcount"): (8, 1), ("r", "venue"): (8, 1)}
     built = {r.paperid: r for r in survivors.survivors(spark.createDataFrame(data, PAPERS)).collect()}
     assert built["p"].citationcount == 9 and built["q"].abstract is None
