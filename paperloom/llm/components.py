@@ -28,9 +28,8 @@ FRONTIER_ROWS = 500_000
 BFS_ROUNDS = 40
 
 
-def _hot(rows: DataFrame, column: str) -> DataFrame:
-    """Values of ``column`` on more than 1/HOT_PARTS of all rows: HOT_PARTS at most."""
-    total = rows.count()
+def _hot(rows: DataFrame, column: str, total: int) -> DataFrame:
+    """Values of ``column`` on more than 1/HOT_PARTS of all ``total`` rows: HOT_PARTS at most."""
     return rows.groupBy(column).count().where(F.col("count") > max(1000, total // HOT_PARTS)).select(column)
 
 
@@ -45,9 +44,10 @@ def _lookup(rows: DataFrame, table: DataFrame, on: str, hot: DataFrame | None) -
 
 def star_edges(keyed: DataFrame) -> DataFrame:
     """(u, v), u <> v: each row of ``keyed`` (id, key) linked with the smallest id of its key."""
-    keyed = keyed.where("id IS NOT NULL AND key IS NOT NULL").distinct()
+    scratch = Scratch(keyed.sparkSession, "stars")
+    keyed = scratch.save(keyed.where("id IS NOT NULL AND key IS NOT NULL").distinct())
     centres = keyed.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
-    hot = _hot(keyed, "key")
+    hot = scratch.save(_hot(keyed, "key", keyed.count()))
     hot = hot if hot.limit(1).count() else None
     return _lookup(keyed, centres, "key", hot).where("id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v")).distinct()
 
@@ -60,7 +60,7 @@ def connected(edges: DataFrame, bfs_rounds: int = BFS_ROUNDS) -> DataFrame:
     top = both.groupBy("u").count().orderBy(F.desc("count"), "u").limit(1).collect()
     if not top:
         return both.select(F.col("u").alias("id"), F.col("v").alias("group_id"))
-    hot = scratch.save(_hot(both, "u"))
+    hot = scratch.save(_hot(both, "u", both.count()))
     hot = hot if hot.limit(1).count() else None
 
     # peel: the component of the highest-degree vertex, one frontier after another
@@ -96,7 +96,12 @@ def connected(edges: DataFrame, bfs_rounds: int = BFS_ROUNDS) -> DataFrame:
 def _propagate(edges: DataFrame, start: DataFrame, scratch: Scratch, hot: DataFrame | None) -> DataFrame:
     """Minimum propagation to the fixpoint; labels are vertices of the same component throughout."""
     labels = scratch.save(start)
+    vertices = labels.count()
     while True:
+        # labels grow hot as components merge, so they are counted anew; at most HOT_PARTS of them and of ``hot``
+        crowded = _hot(labels, "label", vertices).withColumnRenamed("label", "u")
+        crowded = scratch.save((crowded.union(hot) if hot is not None else crowded).distinct())
+        busy = crowded if crowded.limit(1).count() else None
         ends = labels.select(F.col("id").alias("u"), F.col("label").alias("far"))
         low = _lookup(edges, ends, "u", hot).groupBy("v").agg(F.min("far").alias("low")).withColumnRenamed("v", "id")
         met = labels.join(low, "id").select("id", "label", "low")
@@ -106,7 +111,7 @@ def _propagate(edges: DataFrame, start: DataFrame, scratch: Scratch, hot: DataFr
         merged = heard.unionByName(hooks).groupBy("id").agg(F.min("label").alias("label"), F.max("moved").alias("moved"))
         # pointer jumping: rows grouped by label are few labels with many rows, so the label side is looked up split
         roots = merged.select(F.col("id").alias("label"), F.col("label").alias("root"))
-        step = _lookup(merged, roots, "label", hot).select("id", F.least("label", "root").alias("label"), (F.col("moved") | (F.col("root") < F.col("label"))).alias("moved"))
+        step = _lookup(merged, roots, "label", busy.withColumnRenamed("u", "label") if busy is not None else None).select("id", F.least("label", "root").alias("label"), (F.col("moved") | (F.col("root") < F.col("label"))).alias("moved"))
         fresh = scratch.save(step)
         scratch.drop(labels)
         if not fresh.where("moved").limit(1).count():

@@ -18,6 +18,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -84,16 +85,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = b.num_rows
         if not n:
             continue
-        ids, keys = b.column(0).to_pylist(), b.column(1)
-        same = [last_key is not None and keys[0].as_py() == last_key, *pc.equal(keys.slice(1), keys.slice(0, n - 1)).to_pylist()]
-        heads, lead, border = [0] * n, [False] * n, [None] * n
-        for i in range(n):
-            if not same[i]:
-                if not (first and i == 0):
-                    leading = False
-                head = ids[i]
-            heads[i], lead[i] = head, leading
-        border_keys = [None] * n
+        ids, keys = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+        starts = np.ones(n, dtype=bool)
+        starts[0] = keys[0].as_py() != last_key
+        starts[1:] = pc.not_equal(keys.slice(1), keys.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        # the head of a row is the id at the last start before it, or that of the batch before
+        at = np.maximum.accumulate(np.where(starts, np.arange(n), -1))
+        heads = np.where(at >= 0, ids[np.maximum(at, 0)], -1 if head is None else head)
+        opened = np.cumsum(starts) - (1 if first else 0)
+        lead = leading & (opened <= 0)
+        head, leading = int(heads[-1]), bool(lead[-1])
+        border, border_keys = [None] * n, [None] * n
         if first:
             border[0], border_keys[0], first = 1, keys[0].as_py(), False
         last_key = keys[n - 1].as_py()
@@ -109,8 +111,10 @@ def copies(keyed: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     spark = keyed.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed.repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id")
-    scanned = Scratch(spark, "copies").save(ordered.mapInArrow(_scan, _SCANNED).drop("head_key"))
+    scratch = Scratch(spark, "copies")
+    # stored first: the range's borders are sampled from the rows, which would compute all keys twice
+    ordered = scratch.save(keyed).repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id")
+    scanned = scratch.save(ordered.mapInArrow(_scan, _SCANNED).drop("head_key"))
 
     # one row per non-empty partition, in key order; both sides are as many as partitions
     first = scanned.where("border = 1").select("part", F.col("border_key").alias("first_key"), F.col("id").alias("first_id"))

@@ -40,6 +40,8 @@ BLOCKS = {"author": 8, "title": 4}
 WEIGHTS = {"title": 0.5, "authors": 0.4, "year": 0.1}
 #: Pairs below this confidence are not reported as the same work.
 THRESHOLD = 0.5
+#: Labelled pairs that the score, as its own confidence, counts for in each score interval.
+PRIOR_PAIRS = 0.1
 #: Score intervals of the calibration, which bounds what it brings to the driver.
 BINS = 200
 
@@ -205,10 +207,13 @@ def calibrate(pairs: DataFrame) -> tuple[list[float], list[float]]:
     """Knots of the confidence curve: share of agreeing DOIs by score, made monotone."""
     binned = pairs.where("same_doi IS NOT NULL").groupBy(F.floor(F.col("score") * BINS).alias("bin")).agg(F.count("*").alias("n"), F.sum(F.col("same_doi").cast("int")).alias("same"))
     rows = sorted((r["bin"], r["n"], r["same"]) for r in binned.collect())  # BINS + 1 rows at most
-    if sum(n for _, n, _ in rows) < 20:  # too few to learn from: the score is its own confidence
-        return [0.0, 1.0], [0.0, 1.0]
-    bins, counts, same = (np.array(c, dtype=float) for c in zip(*rows, strict=True))
-    knots, values = isotonic((bins + 0.5) / BINS, same / counts, counts)
+    bins = np.arange(BINS + 1)
+    centre = np.minimum(1.0, (bins + 0.5) / BINS)
+    counts, same = np.full(BINS + 1, PRIOR_PAIRS), PRIOR_PAIRS * centre
+    for k, n, agreeing in rows:
+        counts[int(k)] += n
+        same[int(k)] += agreeing
+    knots, values = isotonic(centre, same / counts, counts)
     return knots.tolist(), values.tolist()
 
 

@@ -8,10 +8,11 @@ permutation of its block indices, a new one each time the source is used up, and
 blocks are joined by index.  Positions come from two-level prefix sums over hashed
 buckets, so a source with a third of all rows is never in one task.
 
-A mix is as large as its scarcest source allows: the largest total at which every
-source that has tokens holds its share within its repeat cap.  A larger
-``total_tokens`` may be asked for; sources then stop at their caps and the report
-shows the shares reached.  Copies of a text count as one text, that of the smallest
+A mix is as large as all its sources together, or as ``total_tokens`` asks; sources too
+small for their share are repeated up to their caps and stop there, and the report shows
+the shares reached.  ``total_tokens=EXACT_SHARES`` takes the largest total at which every
+source that has tokens holds its share within its cap: exact shares, but no larger than
+the scarcest source allows.  Copies of a text count as one text, that of the smallest
 doc_id, so that no text comes more often than the cap of its source.
 
 Defined results: shares are relative to the sources of the mix that have tokens; a
@@ -34,6 +35,8 @@ SHARDS = 16
 #: Texts of a bucket of the two-level prefix sum, on average.
 BUCKET_TEXTS = 20_000
 _RANGE = 65_536
+#: ``total_tokens`` of the largest mix with exact shares.
+EXACT_SHARES = -1
 
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -91,7 +94,7 @@ def _plan(sources: pd.DataFrame, block_tokens: int, shards: int, seed: int, tota
             continue
         share = (own["target_share"] / own["target_share"].sum()).to_numpy()
         most = (own["tokens"] * own["max_repeats"]).to_numpy()
-        total = total_tokens or int((most / share).min())
+        total = int((most / share).min()) if total_tokens == EXACT_SHARES else total_tokens or int(own["tokens"].sum())
         cap = (-(-own["tokens"] // block_tokens) * own["max_repeats"]).to_numpy().astype(np.int64)
         want = share * total / block_tokens
         slots = np.floor(want).astype(np.int64)
@@ -101,8 +104,8 @@ def _plan(sources: pd.DataFrame, block_tokens: int, shards: int, seed: int, tota
         n_blocks = (-(-own["tokens"] // block_tokens)).tolist()
         drawn, random = np.zeros_like(left), np.random.default_rng([seed, m])
         for shard in range(shards):
-            part = int(left.sum()) // (shards - shard)
-            counts = left.copy() if shard == shards - 1 else random.multivariate_hypergeometric(left, part, method="marginals" if left.sum() < 10**9 else "count")
+            # binomials of what is left make the counts of all shards multinomial, each source's total being met; their cost doesn't grow with the counts
+            counts = random.binomial(left, 1 / (shards - shard))
             for source, n, first, size in zip(own["source"], counts.tolist(), drawn.tolist(), n_blocks, strict=True):
                 if n:
                     rows.append((mix, shard, source, int(first), int(n), int(size)))

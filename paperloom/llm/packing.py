@@ -15,6 +15,8 @@ order; repeated rows are packed each; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 #: Texts of a shard, on average.
 SHARD_ITEMS = 25_000
-#: Capacities of one call; the list is part of the plan, more are refused.
-MAX_CAPACITIES = 1000
+#: Capacities of one pass over the sizes; more take several passes.
+PASS_CAPACITIES = 500
 
 
 def best_two_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -103,9 +105,11 @@ def containers(sized: DataFrame, bins: DataFrame, shard_items: int = SHARD_ITEMS
     """
     shards = max(1, -(-sized.count() // shard_items))
     bins = bins.select("bin_name", F.col("capacity_tokens").cast("bigint").alias("capacity_tokens")).where("capacity_tokens > 0").distinct()
-    sizes = bins.orderBy("bin_name", "capacity_tokens").limit(MAX_CAPACITIES + 1).collect()
-    if len(sizes) > MAX_CAPACITIES:
-        raise ValueError(f"more than {MAX_CAPACITIES} capacities")
+    # the list of capacities is the caller's configuration, as short as a person writes it
+    sizes = bins.orderBy("bin_name", "capacity_tokens").collect()
+    if len(sizes) > PASS_CAPACITIES:
+        parts = [sized.sparkSession.createDataFrame(sizes[i : i + PASS_CAPACITIES], bins.schema) for i in range(0, len(sizes), PASS_CAPACITIES)]
+        return reduce(DataFrame.unionByName, [containers(sized, part, shard_items) for part in parts])
     listed = F.array(*[F.struct(F.lit(r[0]).alias("bin_name"), F.lit(r[1]).cast("bigint").alias("capacity_tokens")) for r in sizes])
     if not sizes:
         return sized.sparkSession.createDataFrame([], _PIECES)

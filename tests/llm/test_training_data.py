@@ -245,7 +245,13 @@ def test_shares_are_met_within_the_caps(spark):
     random.seed(9)
     data = [(i, "big" if i < 800 else "small", random.randrange(20, 400), f"h{i}") for i in range(900)] + [(5000, "small", 50, "h0"), (5001, None, 9, "z"), (5002, "big", 0, "e")]
     targets = [("m", "big", 2.0, 1), ("m", "small", 1.0, 2), ("m", "absent", 1.0, 3), ("n", "small", 1.0, 2)]
-    draws, shares = mixing.mix(spark.createDataFrame(data, DOCUMENTS), spark.createDataFrame(targets, TARGETS), block_tokens=32, shards=5, bucket_texts=50)
+    inputs = spark.createDataFrame(data, DOCUMENTS), spark.createDataFrame(targets, TARGETS)
+    whole = {(r.mix_name, r.source): r for r in mixing.mix(*inputs, block_tokens=32, shards=5, bucket_texts=50)[1].collect()}
+    total = sum(r.available_tokens for k, r in whole.items() if k[0] == "m")
+    # the whole mix's size is asked for: a source gives its share of it, or all its repeats allow
+    for k, most in (("big", 2 / 3 * total), ("small", 2 * whole["m", "small"].available_tokens)):
+        assert abs(whole["m", k].drawn_tokens - min(most, whole["m", k].available_tokens * whole["m", k].max_repeats)) <= 64
+    draws, shares = mixing.mix(*inputs, block_tokens=32, shards=5, bucket_texts=50, total_tokens=mixing.EXACT_SHARES)
     got = {(r.mix_name, r.source): r for r in shares.collect()}
     assert abs(got["m", "big"].reached_share - 2 / 3) < 0.01 and abs(got["m", "small"].reached_share - 1 / 3) < 0.01
     assert got["m", "absent"].drawn_tokens == 0 and got["n", "small"].reached_share == 1
