@@ -7,7 +7,8 @@ The method is higher-order SQL projection.
 
 Defined results: a null, empty or unparseable body yields no row; a null, missing
 or wrongly typed part yields no child; a lone object stands for an array of one;
-repeated responses yield their rows once per response row; extra columns of the
+word positions are whole numbers from 0 to the largest BIGINT, anything else among them
+(also a nested array) is passed over; repeated responses yield their rows once per response row; extra columns of the
 input are ignored, whatever their names.
 """
 
@@ -55,14 +56,14 @@ def _source_rows() -> str:
 
 def _term_rows() -> str:
     index = "variant_get(w, '$.abstract_inverted_index', 'variant')"
-    entries = f"map_entries(CASE WHEN schema_of_variant({index}) LIKE 'OBJECT%' THEN try_cast({index} AS MAP<STRING, STRING>) END)"
-    # positions as JSON text: quoted items are blanked, then only plain digits count as integers
-    items = "split(regexp_replace(substring(e.value, 2, length(e.value) - 2), '\"[^\"]*\"', ''), ',')"
-    spots = f"array_distinct(filter({items}, p -> p RLIKE '^[0-9]+$'))"
+    entries = f"map_entries(CASE WHEN schema_of_variant({index}) LIKE 'OBJECT%' THEN try_cast({index} AS MAP<STRING, VARIANT>) END)"
+    # whole numbers only; one beyond BIGINT reads as null
+    number = "CASE WHEN schema_of_variant(p) RLIKE '^(BIGINT|DECIMAL[(][0-9]+,0[)])$' THEN try_variant_get(p, '$', 'bigint') END"
+    spots = f"array_distinct(filter(transform(try_cast(e.value AS ARRAY<VARIANT>), p -> {number}), p -> p >= 0))"
     return (
-        f"flatten(transform(filter({entries}, e -> e.value LIKE '[%' AND e.key RLIKE '[^\\\\s\\\\p{{Z}}]'), e -> "
+        f"flatten(transform(filter({entries}, e -> schema_of_variant(e.value) LIKE 'ARRAY%' AND e.key RLIKE '[^\\\\s\\\\p{{Z}}]'), e -> "
         f"transform({spots}, p -> named_struct("
-        "'child', 'term', 'child_no', CAST(p AS BIGINT), 'child_key', e.key, 'child_name', e.key))))"
+        "'child', 'term', 'child_no', p, 'child_key', e.key, 'child_name', e.key))))"
     )
 
 

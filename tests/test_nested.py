@@ -30,6 +30,12 @@ def test_odd_positions_lone_objects_and_unreadable_bodies(spark):
     assert got == [(0, "author", 0, "A9"), (0, "term", 0, "a"), (0, "term", 4, "a"), (1, "author", 0, "A1")]
 
 
+def test_positions_beyond_bigint_and_nested_arrays(spark):
+    index = '{"big": [99999999999999999999, 1], "deep": [[1, 2, 3], 4], "edge": [9223372036854775807, 9223372036854775808], "whole": [2.0, 2.5]}'
+    got = rows(nested.child_rows(frame(spark, '{"results": [{"abstract_inverted_index": ' + index + "}]}")), "child_no", "child_key")
+    assert got == [(1, "big"), (2, "whole"), (4, "deep"), (9223372036854775807, "edge")]
+
+
 def test_flat_tables(spark):
     tables = nested.flat_tables(frame(spark, body(work(publication_year=2020, cited_by_count=3, doi=None, best_oa_location={"pdf_url": "u"}), "no work")))
     assert rows(tables["works"]) == [(0, 0, "W1", None, "T", 2020, 3, "u")]
