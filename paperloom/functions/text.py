@@ -54,9 +54,14 @@ def table_cell(text: Column) -> Column:
 
 
 def yaml_scalar(text: Column) -> Column:
-    """Bare where YAML reads it back unchanged, else a JSON string."""
-    quoted = F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r"^\{\"v\":(.*)\}$", 1)
-    return F.when(text.rlike(r"^[A-Za-z][A-Za-z0-9 _.-]*$") & ~F.lower(text).isin("true", "false", "null", "yes", "no", "on", "off"), text).otherwise(quoted)
+    """One line; bare if it begins with a letter or digit and has no colon or hash, else a JSON string."""
+    line = collapse(text)
+    return F.when(line.rlike(r"^[A-Za-z0-9][^:#]*$"), line).otherwise(json_string(line))
+
+
+def json_string(text: Column) -> Column:
+    """The JSON form of a string, quotes included."""
+    return F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
 
 
 def citations(text: Column) -> Column:
@@ -220,3 +225,47 @@ def page_ranges(pages: Column) -> Column:
     ranges = F.aggregate(pages, empty, step)
     shown = F.transform(ranges, lambda r: F.when(r["a"] == r["z"], r["a"].cast("string")).otherwise(F.concat(r["a"].cast("string"), F.lit("-"), r["z"].cast("string"))))
     return F.array_join(shown, ", ")
+
+
+def slug_of_path(path: str) -> str:
+    """File name form of a path's last part without its extension."""
+    name = re.split(r"[/\\]", path)[-1]
+    return slug_of(re.sub(r"(?<=.)\.[^.]*$", "", name), "document")
+
+
+@F.pandas_udf(T.StringType())
+def path_slug(paths: pd.Series) -> pd.Series:
+    return paths.map(slug_of_path, na_action="ignore")
+
+
+#: Fixed value: the form of a run's id, whose order is the order of time.
+RUN_ID = r"^\d{8}T\d{6}-[0-9a-f]{4}$"
+
+
+def new_run_id(now=None) -> str:
+    """UTC stamp and four hexadecimal digits."""
+    import datetime
+    import secrets
+
+    now = now or datetime.datetime.now(datetime.timezone.utc)
+    return f"{now:%Y%m%dT%H%M%S}-{secrets.token_hex(2)}"
+
+
+def query_label(kind: Column, query: Column, doi: Column, arxiv: Column, title: Column) -> Column:
+    """What a search asked for: the first identifier of an id lookup, else the query's text."""
+    return F.when(kind == "id", F.coalesce(doi, arxiv, title, F.lit("(no identifier)"))).otherwise(F.coalesce(query, F.lit("(empty query)")))
+
+
+def retry_after_ms(header: Column, now: Column) -> Column:
+    """Milliseconds a Retry-After header asks for: seconds or an HTTP date; null if it is neither."""
+    bare = strip(header)
+    at = F.try_to_timestamp(F.regexp_replace(bare, r"^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
+    until = (F.unix_micros(at) - F.unix_micros(now)) / 1000
+    return F.when(bare.rlike(r"^\d+(\.\d+)?$"), bare.cast("double") * 1000).when(until.isNotNull(), F.greatest(F.lit(0.0), until))  # a date in the past asks for no wait
+
+
+def preview(text: Column, lines: int = 30) -> Column:
+    """The first lines of a text and how many more there are."""
+    parts = F.split(text, "\n", -1)
+    rest = F.size(parts) - lines
+    return F.when(rest > 0, F.concat(F.array_join(F.slice(parts, 1, lines), "\n"), F.lit("\n… "), rest.cast("string"), F.lit(" more lines"))).otherwise(text)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import text
+from paperloom.storage import Scratch
 
 #: A page under so many characters has no text; a document with a larger share of such pages is a scan.
 TEXTLESS_CHARS = 100
@@ -37,11 +40,16 @@ def page_stats(documents: DataFrame, pages: str) -> DataFrame:
 def rendered(source: Column, pages: Column, textless: Column) -> Column:
     """A document with front matter and numbered pages as one text."""
     listed = F.when(F.size(textless) > 0, F.concat(F.lit("textless_pages: ["), F.array_join(textless.cast("array<string>"), ", "), F.lit("]\n"))).otherwise(F.lit(""))
-    head = F.concat(F.lit("---\nsource: "), text.yaml_scalar(source), F.lit("\npages: "), F.size(pages).cast("string"), F.lit("\n"), listed, F.lit("---\n"))
+    head = F.concat(F.lit("---\nsource: "), text.json_string(source), F.lit("\npages: "), F.size(pages).cast("string"), F.lit("\n"), listed, F.lit("---\n"))
     body = F.array_join(F.transform(pages, lambda p, i: F.concat(F.lit("<!-- page "), (i + 1).cast("string"), F.lit(" -->\n\n"), text.strip(p))), "\n\n")
     return F.concat(head, body, F.lit("\n"))
 
 
+def passed_through(source: Column, body: Column) -> Column:
+    """A text document verbatim behind the front matter of a single page."""
+    return F.concat(F.lit("---\nsource: "), text.json_string(source), F.lit("\npages: 1\n---\n"), body, F.lit("\n"))
+
+
 def fresh(sources: DataFrame, outputs: DataFrame, key: str, changed: str, written: str) -> DataFrame:
     """(key, n_outputs, fresh): whether there are outputs and none is older than its source."""
     joined = sources.select(key, changed).join(outputs.select(key, written), key, "left")
@@ -82,15 +90,40 @@ def manifest_upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return joined.select(F.coalesce(f"n.{key}", f"o.{key}").alias(key), F.coalesce("n.status", "o.status").alias("status"), points.alias("points"))
 
 
+def distinctive(doi: Column, arxiv: Column) -> Column:
+    """Identifiers long enough that finding one on a page identifies the paper, squashed."""
+    bare = F.regexp_replace(doi, r"(?i)^https?://(dx\.)?doi\.org/", "")
+    squashed = [F.lower(F.regexp_replace(x, rf"{text.SPACE}+", "")) for x in (bare, F.concat(F.lit("arXiv:"), text.or_null(arxiv)))]
+    return F.filter(F.array(*squashed), lambda x: F.length(x) >= HEAD)
+
+
+#: Characters of an identifier by which files and papers meet; a shorter identifier tells nothing.
+HEAD = 10
+
+
 def adopted(files: DataFrame, papers: DataFrame, first_page: str = "first_page", identifier: str = "identifier") -> DataFrame:
-    """(file, paper) of files whose first page names exactly one paper, each paper once.
+    """(file, paper) of files whose first page names exactly one paper nobody claimed yet.
 
-    Identifiers shorter than ten characters tell nothing.  Pages are tokenised, so file
-    and paper meet by an equi-join on the identifier; of several files of one paper the
-    first by name gets it.
+    Files claim in order of their names; a claimed paper leaves the pool, so a later file
+    that names it and one other paper gets the other.  Pages are squashed and met by the
+    first characters of each possible identifier; only files that share papers wait for
+    one another, and each round decides every file that comes first for all its papers.
     """
-    told = papers.where(F.length(identifier) >= 10).select(F.col("paper"), F.lower(identifier).alias("_id"))
-    tokens = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(first_page), F.lit(r"[a-z0-9][a-z0-9./:()_-]*[a-z0-9]"), F.lit(0)), lambda t: F.regexp_replace(t, r"^(?:https?://)?(?:dx\.)?doi\.org/|^doi:|(?<=\d)v\d+$", "")))
-    met = files.select("file", F.explode(tokens).alias("_id")).join(told, "_id").select("file", "paper").distinct()
-    single = met.groupBy("file").agg(F.count("*").alias("n"), F.min("paper").alias("paper")).where("n = 1")
-    return single.groupBy("paper").agg(F.min("file").alias("file")).select("file", "paper")
+    scratch = Scratch(files.sparkSession, "adopted")
+    told = papers.where(F.length(identifier) >= HEAD).select("paper", F.lower(identifier).alias("_id")).withColumn("_head", F.substring("_id", 1, HEAD))
+    pages = files.select("file", F.lower(F.regexp_replace(first_page, rf"{text.SPACE}+", "")).alias("_page"))
+    heads = F.array_distinct(F.regexp_extract_all("_page", F.lit(r"(?=(10\..{7}|arxiv:.{4}))"), F.lit(1)))
+    met = pages.withColumn("_head", F.explode(heads)).join(told, "_head").where(F.contains("_page", F.col("_id")))
+    open_pairs = scratch.save(met.select("file", "paper").distinct())
+    claimed: list[DataFrame] = []
+    while open_pairs.limit(1).count():
+        first = open_pairs.groupBy("paper").agg(F.min("file").alias("first"))
+        due = open_pairs.join(first, "paper").groupBy("file").agg(F.bool_and(F.col("first") == F.col("file")).alias("due"), F.count("*").alias("n"), F.min("paper").alias("paper")).where("due")
+        due = scratch.save(due)
+        taken = due.where("n = 1").select("file", "paper")
+        claimed.append(taken)
+        rest = open_pairs.join(due.select("file"), "file", "left_anti").join(taken.select("paper"), "paper", "left_anti")
+        done, open_pairs = open_pairs, scratch.save(rest.select("file", "paper"))
+        scratch.drop(done)
+    empty = files.sparkSession.createDataFrame([], met.select("file", "paper").schema)
+    return reduce(DataFrame.unionByName, claimed, empty)
