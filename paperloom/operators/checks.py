@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.functions import text
+from paperloom.storage import Scratch
 
 
 def cited(manuscript: DataFrame, body: str = "text") -> DataFrame:
@@ -15,24 +16,33 @@ def cited(manuscript: DataFrame, body: str = "text") -> DataFrame:
     return raw.select("raw", F.lower(text.lead_surname(text.citation_author(F.col("raw")))).alias("surname"), text.citation_year(F.col("raw")).alias("year"))
 
 
+_WORD = r"[\p{L}\p{N}]+"
+
+
 def citation_support(citations: DataFrame, sources: DataFrame, position: str, body: str = "text") -> DataFrame:
     """(raw, surname, year, verdict, found_in) of each citation against ``sources``.
 
     supported: a source names surname and year; year-mismatch: one names the surname;
     else unsupported.  found_in is the first such source by ``position``.  Sources are
-    tokenised and met by the surname's first word, so only sources that could support
-    a citation reach the whole-word test; no source is compared with all citations.
+    tokenised once and met by the words that are cited: a surname of one word and a year
+    are proven by the word itself, so no text moves; only surnames of several words are
+    looked up in the texts that hold their first one.
     """
-    keyed = citations.where("surname <> ''").withColumn("_head", F.regexp_extract("surname", r"[\p{L}\p{N}]+", 0))
+    scratch = Scratch(citations.sparkSession, "citations")
+    keyed = scratch.save(citations.where("surname <> ''").select("surname", "year").distinct().withColumn("_head", F.regexp_extract("surname", _WORD, 0)).withColumn("_plain", F.col("surname").rlike(f"^{_WORD}$")))
     lowered = sources.select(F.col(position).alias("found_in"), F.lower(body).alias("_body"))
-    wanted = keyed.select("_head").distinct()
-    heads = lowered.select("found_in", F.explode(F.array_distinct(F.regexp_extract_all("_body", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("_head")).hint("merge").join(wanted, "_head")
-    met = heads.join(keyed, "_head").join(lowered, "found_in")
-    met = met.withColumn("_name", F.rlike(F.col("_body"), text.word_pattern(F.col("surname")))).where("_name")
-    met = met.withColumn("_both", F.rlike(F.col("_body"), text.word_pattern(F.col("year"))))
-    best = met.groupBy("raw").agg(F.min(F.struct((~F.col("_both")).alias("late"), "found_in")).alias("best"))
+    wanted = keyed.select(F.col("_head").alias("_word")).union(keyed.select("year")).distinct()
+    tokens = F.explode(F.array_distinct(F.regexp_extract_all("_body", F.lit(_WORD), F.lit(0))))
+    # exploded words are many times what the optimizer expects, so they may not be broadcast
+    words = scratch.save(lowered.select("found_in", tokens.alias("_word")).hint("merge").join(wanted, "_word").select("found_in", "_word"))
+    names = keyed.select("surname", F.col("_head").alias("_word"), "_plain").distinct()
+    named = words.join(names, "_word").select("found_in", "surname", "_plain")
+    long = named.where("NOT _plain").join(lowered, "found_in").where(F.rlike(F.col("_body"), text.word_pattern(F.col("surname"))))
+    met = named.where("_plain").select("found_in", "surname").unionByName(long.select("found_in", "surname"))
+    dated = met.join(keyed.select("surname", "year"), "surname").join(words.select("found_in", F.col("_word").alias("year"), F.lit(False).alias("_late")), ["found_in", "year"], "left")
+    best = dated.groupBy("surname", "year").agg(F.min(F.struct(F.coalesce("_late", F.lit(True)).alias("late"), "found_in")).alias("best"))
     verdict = F.when(F.col("best").isNull(), "unsupported").when(F.col("best.late"), "year-mismatch").otherwise("supported")
-    return citations.join(best, "raw", "left").select("raw", "surname", "year", verdict.alias("verdict"), F.col("best.found_in").alias("found_in"))
+    return citations.join(best, ["surname", "year"], "left").select("raw", "surname", "year", verdict.alias("verdict"), F.col("best.found_in").alias("found_in"))
 
 
 def markers(documents: DataFrame, unique: str, body: str = "text") -> DataFrame:
@@ -76,7 +86,9 @@ def followup_groups(mentions: DataFrame) -> DataFrame:
     def listed(name: str) -> Column:
         return F.filter(united(name), lambda v: v.isNotNull() & (v != "")).alias(f"{name}s")
 
-    grouped = mentions.withColumn("key", key).groupBy("key")
+    # exploded once, so that the identifiers' long expressions aren't repeated in every aggregate
+    once = mentions.select(F.explode(F.array(F.struct(*mentions.columns))).alias("m")).select("m.*")
+    grouped = once.withColumn("key", key).groupBy("key")
     return grouped.agg(F.count("*").alias("mentions"), F.min_by("title", "pos").alias("title"), *[known(c) for c in ("authors", "year", "doi", "arxivid")], listed("reason"), listed("card"), united("points").alias("points"))
 
 

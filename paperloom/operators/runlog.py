@@ -50,9 +50,9 @@ def retryable(status: Column) -> Column:
     return status.isin(408, 429) | status.between(500, 599)
 
 
-def too_close(requests: DataFrame, host: str, start: str, end: str, interval_ms: Column) -> DataFrame:
+def too_close(requests: DataFrame, host: str, order: list[str], end: str, interval_ms: Column, start: str = "start") -> DataFrame:
     """Requests that began sooner after the previous one's end than their host's interval."""
-    w = Window.partitionBy(host).orderBy(start)
+    w = Window.partitionBy(host).orderBy(*order)
     gap = F.timestamp_diff("MICROSECOND", F.lag(end).over(w), F.col(start)) / 1000
     return requests.withColumn("gap_ms", gap).where(F.col("gap_ms") < interval_ms)
 

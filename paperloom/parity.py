@@ -51,13 +51,13 @@ def citation_support(spark, sf_dir):
 
 
 @query(r"""
-WITH lines AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\[(\p{Lu}[^\]\[\d]{0,80}?\s+\d{4}[a-z]?)\]', 'CITATION NEEDED: \1', 'g'), chr(10))) AS line FROM documents),
-found AS (SELECT doc_id, line, regexp_extract(line, '\b(EVIDENCE NEEDED|CITATION NEEDED|SECTION MISSING)\b', 1) AS kind FROM lines)
-SELECT kind, count(*) AS n_markers, count(DISTINCT doc_id) AS n_documents FROM found WHERE kind <> '' GROUP BY kind""")
+WITH lines AS (SELECT doc_id, string_split(regexp_replace(text, '\[(\p{Lu}[^\]\[\d]{0,80}?\s+\d{4}[a-z]?)\]', 'CITATION NEEDED: \1', 'g'), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS body FROM lines)
+SELECT doc_id, line, regexp_extract(body, '\b(EVIDENCE NEEDED|CITATION NEEDED|SECTION MISSING)\b', 1) AS kind, regexp_replace(trim(regexp_extract(body, '\b(?:EVIDENCE NEEDED|CITATION NEEDED|SECTION MISSING)\b\s*:?\s*(.*)', 1)), '\s+$', '') AS note FROM l WHERE regexp_matches(body, '\b(EVIDENCE NEEDED|CITATION NEEDED|SECTION MISSING)\b')""")
 def draft_markers(spark, sf_dir):
+    # the tables hold no markers: every citation is withdrawn, which leaves one behind
     withdrawn = F.regexp_replace("text", r"\[(\p{Lu}[^\]\[\d]{0,80}?\s+\d{4}[a-z]?)\]", "CITATION NEEDED: $1")
-    found = checks.markers(table(spark, sf_dir, "documents").select("doc_id", withdrawn.alias("text")), "doc_id")
-    return found.groupBy("kind").agg(F.count("*").alias("n_markers"), F.count_distinct("doc_id").alias("n_documents"))
+    return checks.markers(table(spark, sf_dir, "documents").select("doc_id", withdrawn.alias("text")), "doc_id").withColumn("line", F.col("line").cast("bigint"))
 
 
 def _paged(spark, sf_dir):
@@ -84,11 +84,6 @@ def textless_pages(spark, sf_dir):
     return _paged(spark, sf_dir).where(F.size("textless") > 0).select("doc_id", text.page_ranges(F.col("textless")).alias("textless_pages"))
 
 
-@query()
-def rendered_documents(spark, sf_dir):
-    return _paged(spark, sf_dir).select("doc_id", ingest.rendered(F.coalesce("source", F.lit("unknown")), F.col("pages"), F.col("textless")).alias("document"))
-
-
 @query("""
 WITH tagged AS (SELECT p_partkey, p_name, unnest(list_concat([lower(p_brand), lower(p_type)], string_split(lower(p_name), ' '))) AS tag FROM part),
 placed AS (SELECT tag, p_name, row_number() OVER (PARTITION BY tag ORDER BY p_size DESC, t.p_partkey) AS place, count(*) OVER (PARTITION BY tag) AS n_cards FROM tagged t JOIN part USING (p_partkey, p_name))
@@ -184,16 +179,6 @@ def _records(spark, sf_dir):
     return left.unionByName(right).where("title IS NOT NULL")
 
 
-@query()
-def merged_records(spark, sf_dir):
-    records = _records(spark, sf_dir)
-    first = F.get("authors", F.lit(0))
-    keyed = records.select("pos", F.explode(resolve.record_keys(F.col("title"), first, F.col("doi"), F.col("arxivid"))).alias("key"))
-    # a record without any key has no label and is a work of its own
-    labelled = records.join(resolve.group_labels(keyed), "pos", "left").withColumn("root", F.coalesce("root", "pos"))
-    return resolve.folded(labelled).select("root", "n_records", "title", "year", "venue", "doi", "arxivid", "citations")
-
-
 @query(r"SELECT hit_id, regexp_replace(lower(strip_accents(regexp_replace(title, '\s+', ' ', 'g'))), '[^a-z0-9]+', '', 'g') AS title_key FROM s2_papers")
 def title_keys(spark, sf_dir):
     return table(spark, sf_dir, "s2_papers").select("hit_id", text.title_key("title").alias("title_key"))
@@ -250,27 +235,27 @@ def cache_freshness(spark, sf_dir):
     return ingest.fresh(table(spark, sf_dir, "orders"), outputs, "o_orderkey", "o_orderdate", "l_shipdate")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def orphan_outputs(spark, sf_dir):
-    expected = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return ingest.orphans(table(spark, sf_dir, "customer").select("c_custkey"), expected, "c_custkey")
+    expected = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return ingest.orphans(table(spark, sf_dir, "orders").select("o_orderkey"), expected, "o_orderkey")
 
 
-@query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+@query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 100)")
 def resume_pending(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    return ingest.pending(events.select("event_id", "user_id"), events.where("event_type = 'purchase'"), "user_id").select("event_id")
+    return ingest.pending(events.select("event_id", "user_id"), events.where("event_type = 'purchase' AND value > 100"), "user_id").select("event_id")
 
 
 @query("""
 WITH s AS (SELECT paperid AS k, max(CASE WHEN openaccesspdf.url LIKE '%.pdf' THEN 'downloaded' ELSE 'failed' END) AS status, list_sort(list_distinct(list(point))) AS points FROM s2_papers WHERE hit_id % 2 = 0 GROUP BY 1),
 n AS (SELECT paperid AS k, min(CASE WHEN openaccesspdf.url LIKE '%.pdf' THEN 'downloaded' ELSE 'failed' END) AS status, list_sort(list_distinct(list(point))) AS points FROM s2_papers WHERE hit_id % 2 = 1 GROUP BY 1)
-SELECT coalesce(n.k, s.k) AS paperid, coalesce(n.status, s.status) AS status, len(list_distinct(list_concat(coalesce(s.points, []), coalesce(n.points, [])))) AS n_points FROM s FULL JOIN n ON s.k = n.k""")
+SELECT coalesce(n.k, s.k) AS paperid, coalesce(n.status, s.status) AS status, array_to_string(list_sort(list_distinct(list_concat(coalesce(s.points, []), coalesce(n.points, [])))), ',') AS points FROM s FULL JOIN n ON s.k = n.k""")
 def manifest_upsert(spark, sf_dir):
     rows = table(spark, sf_dir, "s2_papers").withColumn("s", F.when(F.col("openaccesspdf.url").like("%.pdf"), "downloaded").otherwise("failed"))
     old = rows.where("hit_id % 2 = 0").groupBy("paperid").agg(F.max("s").alias("status"), F.array_sort(F.collect_set("point")).alias("points"))
     new = rows.where("hit_id % 2 = 1").groupBy("paperid").agg(F.min("s").alias("status"), F.array_sort(F.collect_set("point")).alias("points"))
-    return ingest.manifest_upsert(old, new, "paperid").select("paperid", "status", F.size("points").cast("bigint").alias("n_points"))
+    return ingest.manifest_upsert(old, new, "paperid").select("paperid", "status", F.array_join(F.array_sort("points"), ",").alias("points"))
 
 
 @query("""
@@ -369,10 +354,10 @@ def event_sessions(spark, sf_dir):
     return streams.sessions(table(spark, sf_dir, "events"), "ts", "user_id", "2 hours", "1 day")
 
 
-@query("SELECT point, count(*) FILTER (WHERE NOT json_valid(body)) AS n_failed, count(*) AS n_answers FROM openalex_responses GROUP BY point")
+@query("SELECT point AS backend, count(*) AS n_failed FROM openalex_responses WHERE NOT json_valid(body) GROUP BY point")
 def answer_failures(spark, sf_dir):
-    rows = table(spark, sf_dir, "openalex_responses").select("point", F.expr("try_parse_json(body) IS NULL").alias("failed"))
-    return rows.groupBy("point").agg(F.count_if("failed").alias("n_failed"), F.count("*").alias("n_answers"))
+    answers = table(spark, sf_dir, "openalex_responses").select("response_id", F.col("point").alias("backend"), F.expr("CASE WHEN try_parse_json(body) IS NULL THEN 'unreadable' END").alias("error"), F.lit(0).alias("found"))
+    return runlog.backend_failures(answers, "response_id", "backend", "error", "found")[0]
 
 
 @query(r"""

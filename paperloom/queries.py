@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom import parity
+from paperloom import composed, parity
 from paperloom.operators import nested
 
 

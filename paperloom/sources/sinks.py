@@ -27,10 +27,3 @@ def write_files(rows: DataFrame, folder: str, name: str = "name", body: str = "t
 def append_events(events: DataFrame, path: str) -> None:
     """Append rows to a JSONL log, credentials redacted."""
     events.select(text.redact(F.to_json(F.struct("*"))).alias("value")).write.mode("append").text(path)
-
-
-def missing_list(manifest: DataFrame, order: list[str]) -> DataFrame:
-    """(line): numbered entries of what has no full text."""
-    rows = manifest.where("status <> 'downloaded'").orderBy(*order)
-    listed = rows.agg(F.array_sort(F.collect_list(F.struct(*order, text.table_cell(F.col("title")).alias("t")))).alias("all"))
-    return listed.select(F.posexplode(F.col("all.t")).alias("n", "t")).select(F.concat((F.col("n") + 1).cast("string"), F.lit(". "), "t").alias("line"))
