@@ -143,7 +143,9 @@ def identifiers(spark, sf_dir):
 
 @query(f"""
 WITH {IDS_SQL}, keyed AS (SELECT *, coalesce('doi:' || doi, 'arxiv:' || arxivid, 'title:' || regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', '', 'g')) AS key FROM ids)
-SELECT key, count(*) AS mentions, min_by(title, followup_id) AS title, min_by(year, followup_id) FILTER (WHERE year IS NOT NULL) AS year, count(DISTINCT citedby[1]) AS n_cards FROM keyed GROUP BY key""")
+cards AS (SELECT key, count(DISTINCT c) AS n FROM (SELECT key, unnest(citedby) AS c FROM keyed) WHERE c <> '' GROUP BY key),
+grouped AS (SELECT key, count(*) AS mentions, min_by(title, followup_id) AS title, min_by(year, followup_id) FILTER (WHERE year IS NOT NULL) AS year FROM keyed GROUP BY key)
+SELECT key, mentions, title, year, coalesce(n, 0) AS n_cards FROM grouped LEFT JOIN cards USING (key)""")
 def followup_collate(spark, sf_dir):
     return checks.followup_groups(_mentions(spark, sf_dir)).select("key", "mentions", "title", "year", F.size("cards").cast("bigint").alias("n_cards"))
 

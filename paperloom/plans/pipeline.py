@@ -8,6 +8,7 @@ reads back instead of computing it again.  Per-item functions of users run as
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -82,21 +83,38 @@ def load_plan(document: str, functions: dict[str, Callable]) -> list[Step]:
     return steps
 
 
-def run_plan(spark: SparkSession, steps: list[Step], functions: dict[str, Callable], tables: Callable[[str], DataFrame], folder: str, variables: dict[str, str] | None = None) -> dict[str, DataFrame]:
-    """Run ``steps`` in order; a table already complete in ``folder`` is read back (resume)."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    scope, done = with_slugs(variables or {}), {}
+def run_plan(spark: SparkSession, steps: list[Step], functions: dict[str, Callable], tables: Callable[[str], DataFrame], folder: str, variables: dict[str, str] | None = None, force: bool = False) -> dict[str, DataFrame]:
+    """Run ``steps`` in order; a table already complete in ``folder`` is read back (resume).
+
+    Beside each table stands a hash of its step, its options and the tables it came from.
+    If one differs, the plan or its inputs changed since: PlanError, unless ``force``
+    computes that step and all that depend on it anew.
+    """
+    from paperloom.sources.readers import read_small, write_small
+
+    scope, done, prints = with_slugs(variables or {}), {}, {}
     for step in steps:
         path = f"{folder.rstrip('/')}/{step.id}"
-        marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if not marker.getFileSystem(conf).exists(marker):
-            inputs = [tables(i.removeprefix("table:")) if i.startswith("table:") else done[i] for i in step.inputs]
-            options = {k: interpolate(v, scope) if isinstance(v, str) else v for k, v in step.options.items()}
+        inputs = [tables(i.removeprefix("table:")) if i.startswith("table:") else done[i] for i in step.inputs]
+        options = {k: interpolate(v, scope) if isinstance(v, str) else v for k, v in step.options.items()}
+        came_from = [fingerprint(df) if i.startswith("table:") else prints[i] for i, df in zip(step.inputs, inputs, strict=True)]
+        prints[step.id] = hashlib.sha256(json.dumps([step.uses, options, came_from], sort_keys=True, default=str).encode()).hexdigest()
+        found = read_small(spark, f"{path}.hash")
+        if found is not None and found != prints[step.id] and not force:
+            raise PlanError(f"step {step.id}: the plan or its inputs changed since its table was written")
+        if found != prints[step.id]:
             functions[step.uses](*inputs, **options).write.mode("overwrite").parquet(path)
+            write_small(spark, f"{path}.hash", prints[step.id])
         done[step.id] = spark.read.parquet(path)
     return done
 
 
+def fingerprint(table: DataFrame) -> str:
+    """What a table is read from: its files, or without any its plan, and its schema."""
+    source = sorted(table.inputFiles()) or table._jdf.queryExecution().optimizedPlan().canonicalized().toString()
+    return json.dumps([source, table.schema.json()])
+
+
 def apply_stage(items: DataFrame, function: Callable[[dict], dict], id_column: str, attempts: int = 1) -> DataFrame:
     """(id, status, outputs, error) of a user's function for each row: JSON outputs, errors as values."""
     kind = dict(items.dtypes)[id_column]

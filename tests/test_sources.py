@@ -74,9 +74,13 @@ PLAN = "version: 1\nsteps:\n- {id: a, uses: double, inputs: ['table:t'], options
 
 def test_plan_runs_and_resumes(spark, tmp_path):
     steps = pipeline.load_plan(PLAN, FUNCTIONS)
-    run = lambda t: pipeline.run_plan(spark, steps, FUNCTIONS, t, str(tmp_path), {"col": "id"})["b"].first()["id"]
+    run = lambda t, **more: pipeline.run_plan(spark, steps, FUNCTIONS, t, str(tmp_path), {"col": "id"}, **more)["b"].first()["id"]
     assert run(lambda name: spark.range(4)) == 12
-    assert run(lambda name: spark.range(100)) == 12  # complete tables are read back
+    before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    assert run(lambda name: spark.range(4)) == 12 and before == {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}  # read back
+    with pytest.raises(pipeline.PlanError, match="step a"):
+        run(lambda name: spark.range(100))
+    assert run(lambda name: spark.range(100), force=True) == 9900
 
 
 def test_plan_problems_are_all_named(spark):
