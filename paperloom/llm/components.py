@@ -17,39 +17,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.ids import arxiv_id, card_name, doi
+from paperloom.skew import hot_values, split_join
 from paperloom.storage import Scratch
 
-#: A vertex or key with more than one in so many of all rows is hot; there are at
-#: most this many of them, which bounds what ``_lookup`` broadcasts.
-HOT_PARTS = 2000
 #: A frontier of up to so many vertices (8 bytes each) is broadcast; a larger one is shuffled.
 FRONTIER_ROWS = 500_000
 #: Breadth-first rounds before the visited part is handed to minimum propagation.
 BFS_ROUNDS = 40
 
 
-def _hot(rows: DataFrame, column: str, total: int) -> DataFrame:
-    """Values of ``column`` on more than 1/HOT_PARTS of all ``total`` rows: HOT_PARTS at most."""
-    return rows.groupBy(column).count().where(F.col("count") > max(1000, total // HOT_PARTS)).select(column)
-
-
-def _lookup(rows: DataFrame, table: DataFrame, on: str, hot: DataFrame | None) -> DataFrame:
-    """Join ``rows`` with ``table`` (unique ``on``), hot values through a broadcast of bounded size."""
-    if hot is None:
-        return rows.join(table, on)
-    small = F.broadcast(hot)
-    warm = rows.join(small, on, "left_anti").join(table.join(small, on, "left_anti"), on)
-    return warm.unionByName(rows.join(F.broadcast(table.join(small, on, "left_semi")), on))
-
-
 def star_edges(keyed: DataFrame) -> DataFrame:
     """(u, v), u <> v: each row of ``keyed`` (id, key) linked with the smallest id of its key."""
     scratch = Scratch(keyed.sparkSession, "stars")
     keyed = scratch.save(keyed.where("id IS NOT NULL AND key IS NOT NULL").distinct())
     centres = keyed.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
-    hot = scratch.save(_hot(keyed, "key", keyed.count()))
+    hot = scratch.save(hot_values(keyed, "key", keyed.count()))
     hot = hot if hot.limit(1).count() else None
-    return _lookup(keyed, centres, "key", hot).where("id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v")).distinct()
+    return split_join(keyed, centres, "key", hot).where("id <> centre").select(F.col("id").alias("u"), F.col("centre").alias("v")).distinct()
 
 
 def connected(edges: DataFrame, bfs_rounds: int = BFS_ROUNDS) -> DataFrame:
@@ -60,7 +44,7 @@ def connected(edges: DataFrame, bfs_rounds: int = BFS_ROUNDS) -> DataFrame:
     top = both.groupBy("u").count().orderBy(F.desc("count"), "u").limit(1).collect()
     if not top:
         return both.select(F.col("u").alias("id"), F.col("v").alias("group_id"))
-    hot = scratch.save(_hot(both, "u", both.count()))
+    hot = scratch.save(hot_values(both, "u", both.count()))
     hot = hot if hot.limit(1).count() else None
 
     # peel: the component of the highest-degree vertex, one frontier after another
@@ -69,7 +53,7 @@ def connected(edges: DataFrame, bfs_rounds: int = BFS_ROUNDS) -> DataFrame:
     tables = [seen]
     for _ in range(bfs_rounds):
         small = n_frontier <= FRONTIER_ROWS
-        reached = both.join(F.broadcast(frontier), "u", "left_semi") if small else _lookup(both, frontier, "u", hot)
+        reached = both.join(F.broadcast(frontier), "u", "left_semi") if small else split_join(both, frontier, "u", hot)
         near = reached.select(F.col("v").alias("u")).distinct()
         # in an undirected graph a frontier only meets itself, its predecessor and new vertices
         for known in tables[-2:]:
@@ -99,11 +83,11 @@ def _propagate(edges: DataFrame, start: DataFrame, scratch: Scratch, hot: DataFr
     vertices = labels.count()
     while True:
         # labels grow hot as components merge, so they are counted anew; at most HOT_PARTS of them and of ``hot``
-        crowded = _hot(labels, "label", vertices).withColumnRenamed("label", "u")
+        crowded = hot_values(labels, "label", vertices).withColumnRenamed("label", "u")
         crowded = scratch.save((crowded.union(hot) if hot is not None else crowded).distinct())
         busy = crowded if crowded.limit(1).count() else None
         ends = labels.select(F.col("id").alias("u"), F.col("label").alias("far"))
-        low = _lookup(edges, ends, "u", hot).groupBy("v").agg(F.min("far").alias("low")).withColumnRenamed("v", "id")
+        low = split_join(edges, ends, "u", hot).groupBy("v").agg(F.min("far").alias("low")).withColumnRenamed("v", "id")
         met = labels.join(low, "id").select("id", "label", "low")
         # hooking: the old label's own row hears of the smaller one, too
         heard = met.select("id", F.least("label", "low").alias("label"), (F.col("low") < F.col("label")).alias("moved"))
@@ -111,7 +95,7 @@ def _propagate(edges: DataFrame, start: DataFrame, scratch: Scratch, hot: DataFr
         merged = heard.unionByName(hooks).groupBy("id").agg(F.min("label").alias("label"), F.max("moved").alias("moved"))
         # pointer jumping: rows grouped by label are few labels with many rows, so the label side is looked up split
         roots = merged.select(F.col("id").alias("label"), F.col("label").alias("root"))
-        step = _lookup(merged, roots, "label", busy.withColumnRenamed("u", "label") if busy is not None else None).select("id", F.least("label", "root").alias("label"), (F.col("moved") | (F.col("root") < F.col("label"))).alias("moved"))
+        step = split_join(merged, roots, "label", busy.withColumnRenamed("u", "label") if busy is not None else None).select("id", F.least("label", "root").alias("label"), (F.col("moved") | (F.col("root") < F.col("label"))).alias("moved"))
         fresh = scratch.save(step)
         scratch.drop(labels)
         if not fresh.where("moved").limit(1).count():
