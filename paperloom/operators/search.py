@@ -7,6 +7,7 @@ the cap, which is a distributed top-k.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text
 from paperloom.operators import ranking, resolve
+from paperloom.operators.checks import followup_groups
 from paperloom.storage import Scratch
 
 #: Bounds and default of a probe's limit.
@@ -134,3 +136,17 @@ def to_queries(followups: DataFrame) -> DataFrame:
     """(key, kind, point, doi, arxivid, title): the lookup of each follow-up by its best identifier."""
     arxiv = F.when(F.col("doi").isNull(), F.col("arxivid"))
     return followups.select("key", F.lit("id").alias("kind"), F.coalesce(F.get("points", F.lit(0)), F.lit(DEFAULT_POINT)).alias("point"), "doi", arxiv.alias("arxivid"), "title")
+
+
+def two_rounds(hits: DataFrame, answers: DataFrame, mentions: Callable[[DataFrame], DataFrame], second: Callable[[DataFrame], tuple[DataFrame, DataFrame]], max_total: int) -> tuple[SearchResult, DataFrame, SearchResult]:
+    """(first round, plan of follow-ups, second round) of a snowball search.
+
+    ``mentions`` gives the follow-ups the first round's papers name (as
+    ``checks.followup_groups`` takes them), ``second`` the hits and answers of their
+    lookups.  The second round knows every paper of the first under all of its keys.
+    """
+    first = execute_search(hits, answers, max_total)
+    known = first.papers.select(known_key(F.col("title"), F.col("doi"), F.col("arxivid")).alias("key"))
+    plan = followup_plan(followup_groups(mentions(first.papers)), known, max_total)
+    more = second(to_queries(plan.where("kept")))
+    return first, plan, execute_search(*more, max(0, max_total - first.papers.count()), first.papers)

@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -55,12 +55,26 @@ def with_slugs(variables: dict[str, str]) -> dict[str, str]:
     return {f"{k}_slug": slug_of(str(v)) for k, v in variables.items()} | variables
 
 
-def load_plan(document: str, functions: dict[str, Callable]) -> list[Step]:
-    """Steps of a YAML plan ``{version: 1, steps: [...]}``; raises PlanError naming all problems."""
+def _places(document: str) -> list[str]:
+    """line:column of each step of a YAML plan."""
     import yaml
 
+    root = yaml.compose(document, Loader=yaml.SafeLoader)
+    lists = [v for k, v in getattr(root, "value", []) if isinstance(root, yaml.MappingNode) and k.value == "steps"]
+    return [f"{n.start_mark.line + 1}:{n.start_mark.column + 1}" for n in (lists[0].value if lists and isinstance(lists[0], yaml.SequenceNode) else [])]
+
+
+def load_plan(document: str, functions: dict[str, Callable], variables: Iterable[str] | None = None) -> list[Step]:
+    """Steps of a YAML plan ``{version: 1, steps: [...]}``; raises PlanError naming all problems and their line:column.
+
+    ``variables``: the names templates may refer to; each also has its ``_slug`` form.
+    """
+    import yaml
+
+    known = None if variables is None else set(variables) | {f"{v}_slug" for v in variables}
     try:
         loaded = yaml.safe_load(document)
+        places = _places(document)
     except yaml.YAMLError as broken:
         raise PlanError(str(broken)) from None
     if not isinstance(loaded, dict) or loaded.get("version") != 1 or not isinstance(loaded.get("steps"), list):
@@ -69,13 +83,16 @@ def load_plan(document: str, functions: dict[str, Callable]) -> list[Step]:
     for n, raw in enumerate(loaded["steps"]):
         raw = raw if isinstance(raw, dict) else {}
         if unknown := set(raw) - {"id", "uses", "inputs", "options"}:
-            problems.append(f"step {n}: unknown keys {sorted(unknown)}")
+            problems.append(f"{places[n]} step {n}: unknown keys {sorted(unknown)}")
         step = Step(str(raw.get("id", "")), str(raw.get("uses", "")), tuple(raw.get("inputs") or ()), dict(raw.get("options") or {}))
         if not step.id or step.id in seen:
-            problems.append(f"step {n}: id missing or used before: {step.id!r}")
+            problems.append(f"{places[n]} step {n}: id missing or used before: {step.id!r}")
         if step.uses not in functions:
-            problems.append(f"step {n}: no function {step.uses!r}")
-        problems += [f"step {step.id}: input {i!r} is no earlier step" for i in step.inputs if i not in seen and not i.startswith("table:")]
+            problems.append(f"{places[n]} step {n}: no function {step.uses!r}")
+        if known is not None:
+            used = {r for v in step.options.values() if isinstance(v, str) for r in references(v)}
+            problems += [f"{places[n]} step {step.id}: unknown reference ${{{r}}}" for r in sorted(used - known)]
+        problems += [f"{places[n]} step {step.id}: input {i!r} is no earlier step" for i in step.inputs if i not in seen and not i.startswith("table:")]
         seen.add(step.id)
         steps.append(step)
     if problems:

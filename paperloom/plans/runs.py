@@ -22,7 +22,7 @@ from pyspark.sql.types import StringType, StructType
 from paperloom.functions.text import new_run_id
 from paperloom.operators.ingest import pending
 from paperloom.plans.pipeline import PlanError, apply_stage, interpolate, with_slugs
-from paperloom.sources.readers import STATE_VERSION, Decision, checkpoint, read_small, write_small
+from paperloom.sources.readers import STATE_VERSION, Decision, checkpoint, decision, read_small, write_small
 
 DONE = ("completed", "skipped")
 RESULT = StructType().add("id", StringType()).add("status", StringType()).add("outputs", StringType()).add("error", StringType())
@@ -275,6 +275,21 @@ class Run:
         return rows
 
 
+def file_gate(spark: SparkSession, folder: str) -> Callable[[RunStep, Run], Decision | None]:
+    """A gate answered through files: a request is written, and a decision file beside it is taken once."""
+
+    def decide(step: RunStep, run: Run) -> Decision | None:
+        base = f"{folder.rstrip('/')}/{step.id}"
+        made = decision(read_small(spark, f"{base}.decision.json"))
+        if made is None:
+            write_small(spark, f"{base}.request.json", json.dumps({"run_id": run.state["run_id"], "step": step.id, "show": list(step.inputs), "actions": ["approve", "revise", "skip", "abort"]}) + "\n")
+        else:
+            write_small(spark, f"{base}.decision.json", "")
+        return made
+
+    return decide
+
+
 def model_choices(steps: DataFrame, agents: DataFrame, fallback: str | None) -> DataFrame:
     """(step, agent, model, max_turns) of ``steps`` (step, agent, model, max_turns): an agent's own choice, else the step's, else the fallback."""
     pins = agents.select(F.col("name").alias("agent"), F.col("model").alias("_model"), F.col("max_turns").alias("_turns"))

@@ -280,6 +280,15 @@ def option(options: dict, key: str, fallback):
     return value.strip() if isinstance(value, str) and value.strip() else fallback
 
 
+def run_defaults(spark: SparkSession, path: str) -> dict[str, str]:
+    """Provider, model and thinking level that hold where nothing else is said; a missing or broken file says nothing."""
+    try:
+        raw = json.loads(read_small(spark, path) or "{}")
+    except ValueError:
+        raw = {}
+    return {k: v.strip() for k in ("provider", "model", "thinking") if isinstance(v := raw.get(k) if isinstance(raw, dict) else None, str) and v.strip()}
+
+
 def latest_run(spark: SparkSession, folder: str) -> str | None:
     """The latest run's id among the names in a folder."""
     ids = [n for n in list_folder(spark, folder) if re.match(text.RUN_ID, n)]

@@ -27,3 +27,13 @@ def write_files(rows: DataFrame, folder: str, name: str = "name", body: str = "t
 def append_events(events: DataFrame, path: str) -> None:
     """Append rows to a JSONL log, credentials redacted."""
     events.select(text.redact(F.to_json(F.struct("*"))).alias("value")).write.mode("append").text(path)
+
+
+def delete_files(names: DataFrame, folder: str, name: str = "name") -> int:
+    """Delete the named files of a folder one by one, as their names arrive; how many there were."""
+    spark = names.sparkSession
+    jvm, deleted = spark.sparkContext._jvm, 0
+    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for row in names.select(name).toLocalIterator():  # a partition at a time
+        deleted += bool(fs.delete(jvm.org.apache.hadoop.fs.Path(folder, row[0]), False))
+    return deleted

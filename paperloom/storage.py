@@ -39,6 +39,10 @@ class Scratch:
         path = f"{self.base}/{self.count}"
         self.count += 1
         df.write.option("compression", "zstd").parquet(path)
+        if self.count == 1:  # results are read from these tables, so they go when the application ends
+            jvm = self.spark.sparkContext._jvm
+            base = jvm.org.apache.hadoop.fs.Path(self.base)
+            base.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(base)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -36,6 +36,22 @@ def test_a_search_interleaves_merges_excludes_caps_and_names(spark):
     assert search.execute_search(hits.limit(0), answers.limit(0), 4).papers.count() == 0
 
 
+def test_two_rounds_know_the_first(spark):
+    hits = spark.createDataFrame([hit(1, "arxiv", 1, "Alpha", doi="10.1000/a"), hit(1, "arxiv", 2, "Beta", doi="10.1000/b")], HITS)
+    answers = spark.createDataFrame([(1, "one", "arxiv", 2, None)], ANSWERS)
+    named = spark.createDataFrame([(1, "Alpha", None, None, "10.1000/a", None, "r", "c1", ["p"]), (2, "Gamma", None, None, "10.1000/g", None, "r", "c1", ["p"]), (3, "Delta", None, None, None, None, "r", "c2", ["p"])], "pos bigint, title string, authors string, year int, doi string, arxivid string, reason string, card string, points array<string>")
+    second = lambda q: (spark.createDataFrame([hit(1, "arxiv", 1, "Beta", doi="10.1000/b"), hit(1, "arxiv", 2, "Gamma", doi="10.1000/g")], HITS), answers)
+    first, plan, more = search.two_rounds(hits, answers, lambda papers: named, second, 3)
+    assert first.papers.count() == 2 and rows(plan, "key", "kept") == [("doi:10.1000/g", False), ("title:delta", True)]
+    assert [r.title for r in more.papers.collect()] == ["Gamma"] and more.n_known == 1
+
+
+def test_sections_without_an_id_count_as_missing(spark):
+    sections = spark.createDataFrame([(1, 1, "a", "A"), (1, 2, None, "B")], "g int, pos int, id string, title string")
+    got = ingest.assembled(sections, spark.createDataFrame([("a", "text")], "id string, text string"), "g", "pos", "id").first()
+    assert (got.n_sections, got.n_missing, got.document) == (2, 1, "text")
+
+
 def test_probe_clamps_and_keeps_unknown_years(spark):
     papers = spark.createDataFrame([(f"t{i}", i, None if i == 0 else 2000 + i) for i in range(30)], "title string, citations bigint, year int")
     assert search.probe(papers, 99).count() == 20 and search.probe(papers, -5).count() == 1 and search.probe(papers).count() == 10

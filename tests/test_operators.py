@@ -46,7 +46,7 @@ def test_records_link_through_a_third(spark):
     assert not [r for r in keyed.collect() if r.key is None]
     surname_differs = records.join(resolve.group_labels(keyed), "pos")
     got = {r.root: r for r in resolve.folded(surname_differs).collect()}
-    assert set(got) == {1, 2, 4} or set(got) == {1, 4}
+    assert set(got) == {1, 4}
     assert got[1].arxivid == "7501.00001" and got[4].n_records == 1
 
 
@@ -101,7 +101,7 @@ def test_freshness_needs_every_output(spark):
 def test_adoption_is_unique_both_ways(spark):
     files = spark.createDataFrame([("b.pdf", "see doi:10.99/abcdefg now"), ("a.pdf", "https://doi.org/10.99/abcdefg"), ("c.pdf", "10.99/abcdefg 10.98/hijklmn"), ("d.pdf", "short 10.1/x")], "file string, first_page string")
     papers = spark.createDataFrame([("p1", "10.99/abcdefg"), ("p2", "10.98/hijklmn"), ("p3", "10.1/x")], "paper string, identifier string")
-    assert rows(ingest.adopted(files, papers)) == [("a.pdf", "p1")]
+    assert rows(ingest.adopted(files, papers)) == [("a.pdf", "p1"), ("c.pdf", "p2")]  # b.pdf finds its paper taken
 
 
 def test_pdf_and_status(spark):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.plans import runs
-from paperloom.sources import readers, requests, scan
+from paperloom.sources import readers, requests, scan, sinks
 from paperloom.sources.readers import Decision
 from paperloom.streaming import events as streams
 from tests.conftest import rows
@@ -79,6 +79,21 @@ def test_outcomes_contracts_models_and_preflight(spark):
     assert rows(runs.preflight(choices, spark.createDataFrame([("p/m1",), ("z/m3",)], "model string"), spark.createDataFrame([("p",)], "provider string"))) == [("p", "unknown model p/m2"), ("z", "no credentials")]
 
 
+def test_gates_answered_through_files(spark, tmp_path):
+    steps = [STEPS[0], runs.RunStep("g", "gate", inputs=("items",))]
+    make = lambda: runs.Run(spark, str(tmp_path / "r"), steps, FUNCTIONS, lambda name: items(spark, "x"), gate=runs.file_gate(spark, str(tmp_path / "gates")))
+    assert make().run() == "awaiting" and json.loads((tmp_path / "gates/g.request.json").read_text())["step"] == "g"
+    (tmp_path / "gates/g.decision.json").write_text('{"action": "approve"}')
+    assert make().run() == "completed" and (tmp_path / "gates/g.decision.json").read_text() == ""
+
+
+def test_defaults_and_deletion(spark, tmp_path):
+    (tmp_path / "d.json").write_text('{"model": " m ", "thinking": 3}')
+    assert readers.run_defaults(spark, str(tmp_path / "d.json")) == {"model": "m"} and readers.run_defaults(spark, str(tmp_path / "none")) == {}
+    (tmp_path / "a.md").write_text("x")
+    assert sinks.delete_files(spark.createDataFrame([("a.md",), ("gone.md",)], "name string"), str(tmp_path)) == 1 and not (tmp_path / "a.md").exists()
+
+
 def test_item_sources(spark, tmp_path):
     for n in ("Über x.md", "b.md"):
         (tmp_path / n).write_text("x")

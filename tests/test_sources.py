@@ -87,6 +87,10 @@ def test_plan_problems_are_all_named(spark):
     with pytest.raises(pipeline.PlanError) as e:
         pipeline.load_plan("version: 1\nsteps:\n- {id: a, uses: nothing, inputs: [z]}\n- {id: a, uses: total}\n", FUNCTIONS)
     assert all(x in str(e.value) for x in ("nothing", "'z'", "used before"))
+    assert "4:3 step 1" in str(e.value)
+    with pytest.raises(pipeline.PlanError, match="2:1|unknown reference"):
+        pipeline.load_plan(PLAN, FUNCTIONS, ["other"])
+    assert len(pipeline.load_plan(PLAN, FUNCTIONS, ["col"])) == 2
     with pytest.raises(pipeline.PlanError):
         pipeline.interpolate("${missing}", {})
 
