@@ -227,4 +227,7 @@ def name_slugs(spark, sf_dir):
 @query(f"WITH {IDS_SQL} SELECT followup_id, coalesce(doi, arxivid, title) AS label FROM ids")
 def query_labels(spark, sf_dir):
     doi, arxiv = ids.work_ids(F.col("doi"), F.col("arxivid"))
-    return table(spark, sf_dir, "followups").select("followup_id", text.query_label(F.lit("id"), F.lit(None).cast("string"), doi, arxiv, F.col("title")).alias("label"))
+    # exploded, so that the two long expressions don't end up in one
+    rows = table(spark, sf_dir, "followups").withColumn("_doi", F.explode(F.array(doi))).withColumn("_arxiv", F.explode(F.array(arxiv)))
+    doi, arxiv = F.col("_doi"), F.col("_arxiv")
+    return rows.select("followup_id", text.query_label(F.lit("id"), F.lit(None).cast("string"), doi, arxiv, F.col("title")).alias("label"))

@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_SPLIT = r"(?:van|von|de|del|della|da|di|du|la|le|el|al|bin|ibn|ter|ten|op)"
+_SPLIT = "(?:" + "|".join(text.PARTICLES) + ")"
 
 
 @query(rf"""
@@ -95,7 +95,7 @@ def keyword_index(spark, sf_dir):
     return index.select("tag", "n_cards", F.array_join("titles", "; ").alias("shown"), "n_more")
 
 
-@query("SELECT hit_id, title, year FROM s2_papers ORDER BY year DESC NULLS LAST, title, hit_id LIMIT 500")
+@query("SELECT hit_id, title, year FROM s2_papers ORDER BY year DESC NULLS LAST, title, hit_id")
 def reference_index(spark, sf_dir):
     papers = table(spark, sf_dir, "s2_papers").select("hit_id", "title", "year")
     return papers.orderBy(F.desc_nulls_last("year"), "title", "hit_id")
@@ -142,7 +142,7 @@ def identifiers(spark, sf_dir):
 
 
 @query(f"""
-WITH {IDS_SQL}, keyed AS (SELECT *, coalesce('doi:' || doi, 'arxiv:' || arxivid, 'title:' || regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', '', 'g')) AS key FROM ids)
+WITH {IDS_SQL}, keyed AS (SELECT *, coalesce('doi:' || doi, 'arxiv:' || arxivid, 'title:' || regexp_replace(lower(strip_accents(title)), '[^a-z0-9]+', '', 'g')) AS key FROM ids),
 cards AS (SELECT key, count(DISTINCT c) AS n FROM (SELECT key, unnest(citedby) AS c FROM keyed) WHERE c <> '' GROUP BY key),
 grouped AS (SELECT key, count(*) AS mentions, min_by(title, followup_id) AS title, min_by(year, followup_id) FILTER (WHERE year IS NOT NULL) AS year FROM keyed GROUP BY key)
 SELECT key, mentions, title, year, coalesce(n, 0) AS n_cards FROM grouped LEFT JOIN cards USING (key)""")
@@ -315,7 +315,7 @@ def precedence(spark, sf_dir):
 
 
 @query("""
-WITH u AS (SELECT DISTINCT venue AS name FROM s2_papers WHERE venue LIKE '% %'), k AS (SELECT DISTINCT primary_location.source.display_name AS suggestion FROM openalex_works WHERE primary_location.source.display_name IS NOT NULL),
+WITH u AS (SELECT DISTINCT venue AS name FROM s2_papers WHERE trim(venue) <> ''), k AS (SELECT DISTINCT primary_location.source.display_name AS suggestion FROM openalex_works WHERE primary_location.source.display_name IS NOT NULL),
 d AS (SELECT name, suggestion, levenshtein(lower(name), lower(suggestion)) AS distance FROM u, k WHERE abs(length(name) - length(suggestion)) <= greatest(2, length(name) // 3)),
 r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY distance, suggestion) AS place FROM d WHERE distance <= greatest(2, length(name) // 3))
 SELECT name, suggestion, CAST(distance AS INT) AS distance FROM r WHERE place <= 3""")
@@ -366,7 +366,8 @@ def answer_failures(spark, sf_dir):
 WITH b AS (SELECT response_id, CAST(body AS JSON) AS j FROM openalex_responses WHERE json_valid(body)),
 w AS (SELECT response_id, unnest(range(len(ws))) AS rank, unnest(ws) AS w FROM (SELECT response_id, CAST(json_extract(j, '$.results') AS JSON[]) AS ws FROM b WHERE json_type(j, '$.results') = 'ARRAY'))
 SELECT response_id, CAST(rank AS INT) AS rank, trim(coalesce(nullif(json_extract_string(w, '$.display_name'), ''), json_extract_string(w, '$.title'))) AS title, TRY_CAST(json_extract_string(w, '$.publication_year') AS INT) AS year,
-  TRY_CAST(json_extract_string(w, '$.cited_by_count') AS BIGINT) AS citations FROM w WHERE json_type(w) = 'OBJECT' AND coalesce(nullif(json_extract_string(w, '$.display_name'), ''), json_extract_string(w, '$.title')) IS NOT NULL""")
+  TRY_CAST(json_extract_string(w, '$.cited_by_count') AS BIGINT) AS citations, nullif(trim(json_extract_string(w, '$.id')), '') AS source_id, nullif(trim(json_extract_string(w, '$.primary_location.source.display_name')), '') AS venue,
+  nullif(trim(json_extract_string(w, '$.best_oa_location.pdf_url')), '') AS pdf_url FROM w WHERE json_type(w) = 'OBJECT' AND coalesce(nullif(json_extract_string(w, '$.display_name'), ''), json_extract_string(w, '$.title')) IS NOT NULL""")
 def openalex_papers(spark, sf_dir):
     rows = adapters.openalex(table(spark, sf_dir, "openalex_responses").where("try_parse_json(body) IS NOT NULL"), "body", "response_id")
-    return rows.select("response_id", "rank", "title", "year", "citations")
+    return rows.select("response_id", "rank", "title", "year", "citations", "source_id", "venue", "pdf_url")
