@@ -39,6 +39,8 @@ MAX_SAMPLES = 1000
 #: Parts of the cross-validation that chooses the scale of the syntax features, and the scales.
 FOLDS, SYNTAX_SCALES = 8, (0.1, 0.3, 1.0)
 PENALTY = 1e-3
+#: Words whose shape and part a worker remembers.
+MEMORY = 200_000
 #: Smoothing of a word's distribution, in shares of the median word's mass, and how a
 #: word's weight falls with the variance of its grades: (variance + SPREAD) ** -PURITY.
 SMOOTHING, SPREAD, PURITY = 0.03, 0.15, 3.0
@@ -99,19 +101,28 @@ _NOMINAL = ("tion", "ity", "ance", "ence", "ment", "ness", "ism")
 
 def _syntax(text: str, words: Counter) -> list[float]:
     """Mean and largest sentence length, commas, clause openers, letters, long words and nominal endings a word."""
-    n = max(1, words.total())
-    sizes = [size for part in _STOPS.split(text) if (size := part.count(" ") + part.count("\n") + 1 if part else 0)] or [n]
-    letters = long = nominal = 0
+    letters = long = nominal = clauses = 0
     for word, k in words.items():
-        size = len(word)
+        size, is_long, is_nominal, is_clause = _shape(word)
         letters += size * k
-        if size >= 7:
-            if size >= 10:
-                long += k
-            if word.endswith(_NOMINAL):
-                nominal += k
-    clauses = sum(words[w] for w in _CLAUSE_WORDS & words.keys())
-    return [math.log1p(sum(sizes) / len(sizes)), math.log1p(max(sizes)), text.count(",") / n, clauses / n, letters / n, long / n, nominal / n]
+        if is_long:
+            long += k
+        if is_nominal:
+            nominal += k
+        if is_clause:
+            clauses += k
+    return _rates(text, max(1, words.total()), letters, long, nominal, clauses)
+
+
+def _shape(word: str) -> tuple[int, bool, bool, bool]:
+    size = len(word)
+    return size, size >= 10, size >= 7 and word.endswith(_NOMINAL), word in _CLAUSE_WORDS
+
+
+def _rates(text: str, n: int, letters: int, long: int, nominal: int, clauses: int) -> list[float]:
+    sizes = [len(part.split()) for part in _STOPS.split(text)]
+    whole = sum(sizes) or n
+    return [math.log1p(whole / (sum(map(bool, sizes)) or 1)), math.log1p(max(sizes) or n), text.count(",") / n, clauses / n, letters / n, long / n, nominal / n]
 
 
 class Ranker:
@@ -182,17 +193,33 @@ class Ranker:
         self.offset = -float(slope @ centre)
         #: word -> (weight, weight times its part of the score)
         self.word_parts = {w: (weight, weight * float(values @ self.word_slope)) for w, (weight, values) in self.words.items() if weight > 0}
+        self.memory: dict[str, tuple] = {}
         self.no_words = float(self.nothing @ self.word_slope)
         self.knots, self.levels = isotonic(features @ slope + self.offset, grades)
 
     def score(self, text: str, words: Counter) -> float:
         total = value = 0.0
-        parts = self.word_parts
-        for word in parts.keys() & words.keys():
-            weight, part = parts[word]
-            total += weight * words[word]
-            value += part * words[word]
-        grammar = sum(x * w for x, w in zip(_syntax(text, words), self.syntax_slope, strict=True))
+        n = letters = long = nominal = clauses = 0
+        memory = self.memory
+        for word, k in words.items():
+            known = memory.get(word)
+            if known is None:
+                known = (*_shape(word), *self.word_parts.get(word, (0.0, 0.0)))
+                if len(memory) < MEMORY:
+                    memory[word] = known
+            size, is_long, is_nominal, is_clause, weight, part = known
+            n += k
+            letters += size * k
+            if is_long:
+                long += k
+            if is_nominal:
+                nominal += k
+            if is_clause:
+                clauses += k
+            if weight:
+                total += weight * k
+                value += part * k
+        grammar = sum(x * w for x, w in zip(_rates(text, max(1, n), letters, long, nominal, clauses), self.syntax_slope, strict=True))
         return (value / total if total else self.no_words) + grammar + self.offset
 
     def level(self, scores: np.ndarray) -> np.ndarray:
