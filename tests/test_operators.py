@@ -88,7 +88,7 @@ def test_exactly_half_textless_is_no_scan(spark):
 def test_rendering(spark):
     df = spark.createDataFrame([("a b.pdf", [" one ", "two"], [2])], "s string, p array<string>, t array<int>")
     got = df.select(ingest.rendered(F.col("s"), F.col("p"), F.col("t")).alias("d")).first()["d"]
-    assert got == "---\nsource: a b.pdf\npages: 2\ntextless_pages: [2]\n---\n<!-- page 1 -->\n\none\n\n<!-- page 2 -->\n\ntwo\n"
+    assert got == '---\nsource: "a b.pdf"\npages: 2\ntextless_pages: [2]\n---\n<!-- page 1 -->\n\none\n\n<!-- page 2 -->\n\ntwo\n'
 
 
 def test_freshness_needs_every_output(spark):

@@ -2,11 +2,9 @@
 
 import json
 
-import numpy as np
 from pyspark.sql import functions as F
 
-from paperloom import parity
-from paperloom.llm import matching, names, reading
+from paperloom import composed, parity
 from paperloom.operators import checks
 from paperloom.sources import adapters
 from tests.conftest import rows
@@ -34,27 +32,8 @@ def test_records_without_any_key_are_kept(spark, monkeypatch):
     schema = "pos bigint, title string, authors array<string>, abstract string, year int, venue string, doi string, arxivid string, citations bigint, tags array<string>"
     work = lambda pos, title, doi=None: (pos, title, ["Jane Doe"], None, 2020, None, doi, None, 1, None)
     data = [work(2, "深度学习"), work(3, "Машинное обучение"), work(4, "深度学习"), work(5, "تعلم الآلة", "10.1234/a"), work(6, "Tides"), work(8, "Tides"), work(9, "Other", "10.1234/a")]
-    monkeypatch.setattr(parity, "_records", lambda *_: spark.createDataFrame(data, schema))
-    assert rows(parity.merged_records(spark, ""), "root", "n_records") == [(2, 1), (3, 1), (4, 1), (5, 2), (6, 2)]
-
-
-def test_calibration_weighs_bins_by_all_their_pairs(spark):
-    # 40,000 agreeing pairs in a lower bin, 10,000 differing ones in the next: four in five of the pool agree
-    pairs = spark.range(50_000).select(F.when(F.col("id") < 40_000, 0.5).otherwise(0.51).alias("score"), (F.col("id") < 40_000).alias("same_doi"))
-    assert matching.calibrate(pairs)[1] == [0.8]
-
-
-def test_isotonic_weights_are_repetitions():
-    scores, values, counts = np.array([1.0, 2, 3, 4]), np.array([0.5, 0.75, 0.25, 1.0]), np.array([2, 1, 4, 3])
-    repeated = reading.isotonic(np.repeat(scores, counts), np.repeat(values, counts))
-    assert all(np.allclose(a, b) for a, b in zip(reading.isotonic(scores, values, counts), repeated, strict=True))
-
-
-def test_long_chains_of_spellings_reach_their_root(spark):
-    # each surname is one letter from the next and two or more from all others
-    surnames = ["xwqzyvjxwqzy"[:i] + "kolmanertiso"[i:] for i in range(13)]
-    spelt = spark.createDataFrame([(f"Robert {s.capitalize()}", i + 1) for i, s in enumerate(surnames)], "name string, n bigint")
-    assert {r.canonical for r in names.attributed(spelt).collect()} == {"person|xwqzyvjxwqzy|robert"}
+    monkeypatch.setattr(composed, "_records", lambda *_: spark.createDataFrame(data, schema))
+    assert rows(composed.merged_records(spark, ""), "root", "n_records") == [(2, 1), (3, 1), (4, 1), (5, 2), (6, 2)]
 
 
 def test_answers_are_read_whole(spark):
