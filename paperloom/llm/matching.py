@@ -213,7 +213,7 @@ def calibrate(pairs: DataFrame) -> tuple[list[float], list[float]]:
     for k, n, agreeing in rows:
         counts[int(k)] += n
         same[int(k)] += agreeing
-    knots, values = isotonic(centre, same / counts, counts)
+    knots, values = isotonic(centre, same / counts, counts, steps=True)
     return knots.tolist(), values.tolist()
 
 

@@ -257,8 +257,11 @@ def pairwise(features: np.ndarray, grades: np.ndarray, penalty: float, rounds: i
     return weights
 
 
-def isotonic(scores: np.ndarray, values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the non-decreasing step curve closest to ``values`` (pool adjacent violators)."""
+def isotonic(scores: np.ndarray, values: np.ndarray, weights: np.ndarray | None = None, steps: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the non-decreasing step curve closest to ``values`` (pool adjacent violators).
+
+    A knot stands in the middle of each step; with ``steps`` one at both of its ends.
+    """
     order = np.argsort(scores, kind="stable")
     weights = np.ones(len(scores)) if weights is None else weights
     pools: list[list[float]] = []
@@ -268,6 +271,9 @@ def isotonic(scores: np.ndarray, values: np.ndarray, weights: np.ndarray | None
             v2, n2, _, b2 = pools.pop()
             v1, n1, a1, _ = pools.pop()
             pools.append([(v1 * n1 + v2 * n2) / (n1 + n2), n1 + n2, a1, b2])
+    if steps:
+        ends = [(x, p[0]) for p in pools for x in dict.fromkeys((p[2], p[3]))]
+        return np.array([x for x, _ in ends]), np.array([v for _, v in ends])
     return np.array([(p[2] + p[3]) / 2 for p in pools]), np.array([p[0] for p in pools])
 
 
